@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, langid, mixing, secrets, sharding
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_language_id": langid.op9_language_id,
+    "op10_secret_scans": secrets.op10_secret_scans,
 }
 ORACLES = {"op3_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}

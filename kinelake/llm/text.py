@@ -16,8 +16,10 @@ import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes outside words of ASCII letters, digits and all other scripts.
+PUNCTUATION = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -66,6 +68,13 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     bounds: np.ndarray
+    total: np.ndarray
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hashes of the first ``size`` bytes of each word (of all, if it has fewer)."""
+        _, down = _BYTE_POWERS.get(len(self.total))
+        ends = np.minimum(self.starts + size, self.ends)
+        return mix((self.total[ends] - self.total[self.starts]) * down[self.starts])
 
     @property
     def counts(self) -> np.ndarray:
@@ -113,32 +122,37 @@ def slices(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[slice]:
         at = to
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray, rows: slice, lower: bool = False) -> Words:
+def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of True; a run ends with its document."""
+    edge = np.zeros(len(member) + 1, bool)
+    edge[offsets] = True
+    first, last = member.copy(), member.copy()
+    first[1:] &= ~member[:-1] | edge[1:-1]
+    last[:-1] &= ~member[1:] | edge[1:-1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def tokenize(data: np.ndarray, offsets: np.ndarray, rows: slice, lower: bool = False, space: np.ndarray = SPACE) -> Words:
+    """Words of a run of documents; ``space`` says which bytes separate them."""
     base = offsets[rows.start]
     data, offsets = data[base : offsets[rows.stop]], offsets[rows.start : rows.stop + 1] - base
     if lower:
         data = _LOWER[data]
     if not len(data):
         none = np.zeros(0, np.int64)
-        return Words(rows, data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64))
-    word = ~_SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1] | edge[1:-1]
-    last[:-1] &= ~word[1:] | edge[1:-1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        return Words(rows, data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(1, np.uint64))
+    starts, ends = runs(~space[data], offsets)
     up, down = _BYTE_POWERS.get(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts])
-    return Words(rows, data, starts, ends, hashes, np.searchsorted(starts, offsets))
+    return Words(rows, data, starts, ends, hashes, np.searchsorted(starts, offsets), total)
 
 
-def token_batches(array: pa.Array, lower: bool = False, most: int = CHUNK_BYTES) -> Iterator[Words]:
+def token_batches(array: pa.Array, lower: bool = False, most: int = CHUNK_BYTES, space: np.ndarray = SPACE) -> Iterator[Words]:
     data, offsets = raw(array)
     for rows in slices(offsets, most):
-        yield tokenize(data, offsets, rows, lower)
+        yield tokenize(data, offsets, rows, lower, space)
 
 
 def shingle_sets(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
