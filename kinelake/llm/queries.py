@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, secrets, sharding
+from . import exact_dedup, langid, mixing, secrets, sharding, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op7_sharding": sharding.op7_sharding,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
