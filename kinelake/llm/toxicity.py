@@ -1,7 +1,6 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings.
 
-Every word has the sum of two hashed embeddings, of the word and of its first
-bytes. Filters of several widths run over them, each filter keeps its maximum
+Every word has the sum of hashed embeddings of the word and of its first bytes. Filters of several widths run over them, each filter keeps its maximum
 over the whole text, and a logistic layer turns the maxima into a score. The
 embeddings start from log-odds of the training labels and are trained with the
 rest in numpy, on a bounded sample of labelled rows. Labels held back from the
@@ -22,20 +21,24 @@ from .text import PUNCTUATION, column, token_batches
 
 BUCKETS, DIM = 1 << 18, 4
 WIDTHS, FILTERS = (1, 2, 3), 4
-PREFIX = 5
+#: Each word also has an embedding of its first 4 and of its first 5 bytes, which its inflected forms share.
+PREFIXES = (4, 5)
+TABLES = 1 + len(PREFIXES)
+LEAST, PRIOR = 3, 6.0
 RESULT = "doc_id long, held_out boolean, score double"
 
 
 def hashed(words) -> np.ndarray:
-    """Rows of the word table and of the prefix table, by word."""
+    """Rows of the word table and of the prefix tables, by word."""
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    return np.stack([words.hashes >> shift, words.prefixes(PREFIX) >> shift], 1).astype(np.int32)
+    return np.stack([words.hashes >> shift, *(words.prefixes(n) >> shift for n in PREFIXES)], 1).astype(np.int32)
 
 
 @dataclass
 class TextNetwork:
-    tables: np.ndarray = field(default_factory=lambda: np.zeros((2, BUCKETS, DIM), np.float32))
+    tables: np.ndarray = field(default_factory=lambda: np.zeros((TABLES, BUCKETS, DIM), np.float32))
     p: dict = field(default_factory=dict)
+    known: np.ndarray | None = None
 
     def __post_init__(self):
         if not self.p:
@@ -46,10 +49,16 @@ class TextNetwork:
                 self.p |= {f"w{k}": w, f"b{k}": np.zeros(FILTERS, np.float32)}
             self.p |= {"o": np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), "c": np.zeros(1, np.float32)}
 
+    def embedded(self, rows: np.ndarray) -> np.ndarray:
+        x = self.tables[0][rows[..., 0]]
+        for t in range(1, TABLES):
+            x += self.tables[t][rows[..., t]]
+        return x
+
     def pooled(self, rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Maxima by document and filter, and the words they begin at. A text shorter than a filter is padded with zeros."""
         n, out, where = len(bounds) - 1, [], []
-        x = self.tables[0][rows[:, 0]] + self.tables[1][rows[:, 1]]
+        x = self.embedded(rows)
         doc = np.repeat(np.arange(n), np.diff(bounds))
         full = np.flatnonzero(np.diff(bounds) > 0)
         for k in WIDTHS:
@@ -69,7 +78,7 @@ class TextNetwork:
 
     def logits(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         n = len(bounds) - 1
-        x = self.tables[0][rows[:, 0]] + self.tables[1][rows[:, 1]]
+        x = self.embedded(rows)
         full = np.flatnonzero(np.diff(bounds) > 0)
         z = np.full(n, self.p["c"][0], np.float32)
         if not len(full):
@@ -84,23 +93,28 @@ class TextNetwork:
         return z
 
     def start(self, docs: list[np.ndarray], y: np.ndarray) -> None:
-        """Smoothed log-odds of a row occurring in documents of label 1 as the first dimension; small noise in the others."""
+        """Log-odds of a row occurring in documents of label 1, shrunk to 0 where few have it, as the first dimension; small noise in the others.
+
+        Rows of fewer than LEAST documents stay zero, in the fit as well, like those of words never seen.
+        """
         rng = np.random.default_rng(23)
-        share = np.array([(y == 0).sum() + 1.0, (y == 1).sum() + 1.0])
-        for t in range(2):
+        n0, n1 = (y == 0).sum() + 1.0, (y == 1).sum() + 1.0
+        prior = PRIOR / (n0 + n1)
+        self.known = np.zeros((TABLES, BUCKETS), bool)
+        for t in range(TABLES):
             seen = np.zeros((2, BUCKETS))
             for d, label in zip(docs, y):
                 seen[label, np.unique(d[:, t])] += 1
-            odds = np.log((seen[1] + 0.5) / share[1]) - np.log((seen[0] + 0.5) / share[0])
-            odds[seen.sum(0) == 0] = 0
-            self.tables[t, :, 0] = np.clip(odds, -4, 4) / 2
-            self.tables[t, :, 1:] = rng.normal(0, 0.05, (BUCKETS, DIM - 1))
+            odds = np.log(seen[1] / n1 + prior) - np.log(seen[0] / n0 + prior)
+            known = self.known[t] = seen.sum(0) >= LEAST
+            self.tables[t, known, 0] = np.clip(odds[known], -4, 4) / 2
+            self.tables[t, known, 1:] = rng.normal(0, 0.05, (int(known.sum()), DIM - 1))
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 4, rate: float = 0.02) -> None:
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 10, rate: float = 0.03) -> None:
         rng = np.random.default_rng(29)
         weight = np.where(y == 1, len(y) / (2 * max((y == 1).sum(), 1)), len(y) / (2 * max((y == 0).sum(), 1)))
         m, v, t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
-        size = np.full((2, BUCKETS), 1e-4, np.float32)
+        size = np.full((TABLES, BUCKETS), 1e-4, np.float32)
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 64)):
                 rows = np.concatenate([docs[i] for i in batch])
@@ -117,14 +131,14 @@ class TextNetwork:
                         at = where[i] + j
                         ok = (at < bounds[1:, None]) & (np.diff(bounds) > 0)[:, None]
                         at = np.minimum(at, max(len(rows) - 1, 0))
-                        x = (self.tables[0][rows[at, 0]] + self.tables[1][rows[at, 1]]) * ok[:, :, None]
+                        x = self.embedded(rows[at]) * ok[:, :, None]
                         g[f"w{k}"][j] = np.einsum("bf,bfd->df", d, x)
                         back = (d * ok)[:, :, None] * self.p[f"w{k}"][j].T
-                        for s in range(2):
+                        for s in range(TABLES):
                             own = rows[at, s].ravel()
                             flat = back.reshape(-1, DIM)
                             np.add.at(size[s], own, (flat**2).mean(1))
-                            np.add.at(self.tables[s], own, -rate * flat / np.sqrt(size[s][own])[:, None])
+                            np.add.at(self.tables[s], own, -rate * flat * self.known[s][own][:, None] / np.sqrt(size[s][own])[:, None])
                 t += 1
                 for k, a in self.p.items():
                     m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -177,7 +191,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_words: int
 
     rows = rows.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "lang", "text")
     got = rows.mapInArrow(run, "doc_id long, toxic int, lang string, words binary").collect()
-    return [(int(r.toxic == 1), r.lang, np.frombuffer(r.words, np.int32).reshape(-1, 2)) for r in sorted(got, key=lambda r: r.doc_id)]
+    return [(int(r.toxic == 1), r.lang, np.frombuffer(r.words, np.int32).reshape(-1, TABLES)) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
 def train(rows: list, default: float = 0.7, precision: float = 0.95) -> Scorer:
@@ -199,6 +213,7 @@ def train(rows: list, default: float = 0.7, precision: float = 0.95) -> Scorer:
     docs = [r[2] for r in rows]
     net.start([d for d, o in zip(docs, out) if not o], y[~out])
     net.fit([d for d, o in zip(docs, out) if not o], y[~out])
+    net.known = None
     held = [d for d, o in zip(docs, out) if o]
     z = np.concatenate([net.logits(d, np.array([0, len(d)])) for d in held])
     truth, a, b = y[out].astype(float), 1.0, 0.0
