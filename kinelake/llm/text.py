@@ -69,6 +69,7 @@ class Words:
     hashes: np.ndarray
     bounds: np.ndarray
     total: np.ndarray
+    offsets: np.ndarray
 
     def prefixes(self, size: int) -> np.ndarray:
         """Hashes of the first ``size`` bytes of each word (of all, if it has fewer)."""
@@ -140,13 +141,13 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, rows: slice, lower: bool = F
         data = _LOWER[data]
     if not len(data):
         none = np.zeros(0, np.int64)
-        return Words(rows, data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(1, np.uint64))
+        return Words(rows, data, none, none, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(1, np.uint64), offsets)
     starts, ends = runs(~space[data], offsets)
     up, down = _BYTE_POWERS.get(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts])
-    return Words(rows, data, starts, ends, hashes, np.searchsorted(starts, offsets), total)
+    return Words(rows, data, starts, ends, hashes, np.searchsorted(starts, offsets), total, offsets)
 
 
 def token_batches(array: pa.Array, lower: bool = False, most: int = CHUNK_BYTES, space: np.ndarray = SPACE) -> Iterator[Words]:
