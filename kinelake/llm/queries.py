@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, secrets, sharding, toxicity
+from . import decontaminate, exact_dedup, langid, mixing, quality, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op6_quality": quality.op6_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
     "op7_sharding": sharding.op7_sharding,
