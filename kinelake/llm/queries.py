@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, mixing, quality, secrets, sharding, toxicity
+from . import decontaminate, exact_dedup, langid, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
-    "op6_quality": quality.op6_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_mixing": mixing.op3_mixing,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_quality": quality.op6_quality,
     "op7_sharding": sharding.op7_sharding,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
