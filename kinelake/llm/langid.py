@@ -159,15 +159,16 @@ def train(words: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int
 def sample_words(docs: DataFrame, most_docs: int = 1500, most_words: int = 15000) -> list[tuple[str, bytes, int]]:
     """(lang, word, count): the commonest words of a bounded sample of each language.
 
-    The first ``most_docs`` documents of a language by a hash of doc_id, and
-    of them the ``most_words`` commonest words. Both ranks are cut before
-    their shuffle, so no language's rows meet in one task.
+    About ``most_docs`` documents of each language, drawn by a hash of doc_id
+    at that language's own rate, and of them the ``most_words`` commonest
+    words. The sample, and so what the ranking meets in a task, stays the same
+    size as the table grows.
     """
-    ids = docs.filter("lang IS NOT NULL").select("doc_id", "lang", F.xxhash64(F.col("doc_id"), F.lit(3)).alias("h"))
-    first = ids.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("i") <= most_docs)
-    # Bounded: at most most_docs hashes for each language.
-    limits = first.groupBy("lang").agg(F.max("h").alias("last"))
-    texts = docs.join(F.broadcast(limits), "lang").filter(F.xxhash64(F.col("doc_id"), F.lit(3)) <= F.col("last"))
+    ids = docs.filter("lang IS NOT NULL")
+    # A row a language; the hashes are spread evenly, so a share of them is about most_docs documents.
+    shares = ids.groupBy("lang").agg(F.least(F.lit(most_docs) / F.count(F.lit(1)), F.lit(1.0)).alias("share"))
+    drawn = (F.xxhash64(F.col("doc_id"), F.lit(3)) / F.lit(2.0**64) + 0.5) <= F.col("share")
+    texts = ids.join(F.broadcast(shares), "lang").filter(drawn)
     words = texts.select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
     counted = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, materialise, table
+from .shared import arrow_schema, first_by_hash, materialise, table
 from .text import Words, column, token_batches, tokenize
 
 LABELLERS = ("symbols", "repetition", "capitals", "length", "sentences", "separators", "variety")
@@ -198,8 +198,9 @@ def weak_labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def fit_scorer(docs: DataFrame, labelled: DataFrame, most: int = 3000, most_words: int = 50_000) -> LinearScorer:
     """Train on at most ``most`` documents of each posterior label, the first by a hash of doc_id, of ``most_words`` words or fewer."""
     ids = labelled.groupBy("doc_id").agg(F.min("posterior").alias("posterior")).withColumn("h", F.xxhash64("doc_id", F.lit(2)))
+    ids = materialise(ids, "posteriors")
     good = F.col("posterior") >= 0.5
-    picked = ids.filter(good).orderBy("h").limit(most).unionByName(ids.filter(~good).orderBy("h").limit(most))
+    picked = first_by_hash(ids.filter(good), most).unionByName(first_by_hash(ids.filter(~good), most))
     rows = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * most ids
 
     def run(batches):

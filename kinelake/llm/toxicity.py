@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, table
+from .shared import arrow_schema, first_by_hash, materialise, table
 from .text import PUNCTUATION, column, token_batches
 
 BUCKETS, DIM = 1 << 18, 4
@@ -173,7 +173,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_words: int
     """
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select("doc_id").distinct().join(labels, "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(1)))
-    picked = ids.filter("toxic = 1").orderBy("h").limit(most).unionByName(ids.filter("toxic <> 1").orderBy("h").limit(2 * most))
+    ids = materialise(ids, "labelled")
+    picked = first_by_hash(ids.filter("toxic = 1"), most).unionByName(first_by_hash(ids.filter("toxic <> 1"), 2 * most))
     rows = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "lang", "text")  # at most 3 * most ids
 
     def run(batches):
