@@ -1,3 +1,14 @@
 """The registered queries and their SQL."""
 
-QUERIES, ORACLES = {}, {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import single_queries
+
+QUERIES = {**single_queries.QUERIES}
+ORACLES = {**single_queries.ORACLES}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["rolling_centered"](spark, sf_dir)
