@@ -1,10 +1,11 @@
 """Rolling aggregates over frame-ordered trajectories.
 
-Means, sums, variances and shares come from running sums over the whole
-trajectory and their values at the two ends of the frame, so their cost does
-not depend on the width; a series is centred on its mean first, against
-cancellation. Minimum, maximum, median, rank, slope use Spark's frames. All
-of them share one partitioning and one order: one exchange and one sort.
+Means, sums and shares come from running sums over the whole trajectory and
+their values at the two ends of the frame, so their cost does not depend on
+the width; a series is centred on its mean first, against cancellation.
+Variances would lose small values to it, so they, minimum, maximum, median,
+rank and slope use Spark's frames. All of them share one partitioning and one
+order: one exchange and one sort.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SUMS = ("mean", "sum", "var", "std", "count")
+SUMS = ("mean", "sum", "count")
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,7 @@ class Track:
         sums: dict[str, Column] = {}
         for s in series:
             off = F.coalesce(F.col(s) - F.col(f"__m_{s}"), F.lit(0.0))
-            sums |= {f"__n_{s}": F.count(s).over(run), f"__s_{s}": F.sum(off).over(run), f"__q_{s}": F.sum(off * off).over(run)}
+            sums |= {f"__n_{s}": F.count(s).over(run), f"__s_{s}": F.sum(off).over(run)}
         ends: dict[str, Column] = {}
 
         def at(name: str, shift: int) -> str:
@@ -106,12 +107,7 @@ class Track:
             n = span(f"__n_{r.series}", r)
             if r.kind in SUMS:
                 s, m = span(f"__s_{r.series}", r), F.col(f"__m_{r.series}")
-                var = F.greatest(F.try_divide(span(f"__q_{r.series}", r) - F.try_divide(s * s, n), F.when(n > 1, n - 1)), F.lit(0.0))
-                var = F.when(n > 1, var)
-                value = {
-                    "mean": lambda: F.try_divide(s, n) + m, "sum": lambda: s + n * m,  # noqa: B023
-                    "var": lambda: var, "std": lambda: F.sqrt(var), "count": lambda: n.cast("double"),  # noqa: B023
-                }[r.kind]()
+                value = {"mean": F.try_divide(s, n) + m, "sum": s + n * m, "count": n.cast("double")}[r.kind]
             else:
                 native[f"__w_{name}"] = NATIVE[r.kind](r, self.window.rowsBetween(r.lo, r.hi))
                 value = F.col(f"__w_{name}")
@@ -143,6 +139,8 @@ def _slope(r: Roll, frame: WindowSpec) -> Column:
 
 
 NATIVE: dict[str, Callable[[Roll, WindowSpec], Column]] = {
+    "var": lambda r, frame: F.var_samp(r.series).over(frame),
+    "std": lambda r, frame: F.stddev_samp(r.series).over(frame),
     "min": lambda r, frame: F.min(r.series).over(frame),
     "max": lambda r, frame: F.max(r.series).over(frame),
     "median": lambda r, frame: F.expr(f"percentile({r.series}, 0.5)").over(frame),

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import single_queries
+from . import pair_queries, single_queries
 
-QUERIES = {**single_queries.QUERIES}
-ORACLES = {**single_queries.ORACLES}
+QUERIES = {**single_queries.QUERIES, **pair_queries.QUERIES}
+ORACLES = {**single_queries.ORACLES, **pair_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
