@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pair_queries, single_queries
+from . import flow_queries, pair_queries, single_queries
 
-QUERIES = {**single_queries.QUERIES, **pair_queries.QUERIES}
-ORACLES = {**single_queries.ORACLES, **pair_queries.ORACLES}
+QUERIES = {**single_queries.QUERIES, **pair_queries.QUERIES, **flow_queries.QUERIES}
+ORACLES = {**single_queries.ORACLES, **pair_queries.ORACLES, **flow_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["rolling_centered"](spark, sf_dir)
+    return QUERIES["runs_to_intervals"](spark, sf_dir)
