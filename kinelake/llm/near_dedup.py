@@ -4,21 +4,22 @@ Every distinct set of word shingles has a MinHash signature. The forest is
 several sorted orders of the signatures, each starting at another place of
 them; documents with a long common prefix in an order are candidates. The
 depth of the prefix adapts to the region: it starts at three values and grows
-where more sets share a prefix than one task should compare. What shares a
+where more sets share a prefix than can be compared with each other. What shares a
 prefix is compared on full sets, exactly and all against all, and only a
 spanning set of links leaves the comparison, so neither copies nor near copies
 are ever written out as pairs.
 
 Chance: two sets at 0.85 agree in three values with 0.61, so that all sixteen
-orders miss them has a chance below 1 in 4 million. Deeper regions miss more
-single links (1 in 3,000 at depth six), but hold many.
+orders miss them has a chance below 1 in 4 million. Regions over MOST_BLOCKED
+distinct sets miss more single links as they deepen (1 in 3,000 at depth six),
+but hold many, and all their sets meet the region's hub as well.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
@@ -29,6 +30,8 @@ SHINGLE, PERCENT = 5, 85
 VALUES, ORDERS, DEPTH = 48, 16, 3
 #: The most sets, and shingles of them, that are compared in one piece.
 MOST_SETS, MOST_SHINGLES = 1024, 4_000_000
+#: Larger regions than this are no longer compared all against all at depth three.
+MOST_BLOCKED = 8192
 #: Pairs that agree in fewer values aren't compared: at 0.85, six standard deviations below the mean.
 LEAST_EQUAL = 26
 #: Up to so many ids (a few MB) are broadcast; more are joined by a shuffle.
@@ -76,8 +79,47 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
 
+def _key(*cols: Column) -> Column:
+    return F.xxhash64(*cols).alias("bucket")
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """(bucket, node): every pair of a bucket's sets meets in a piece of at most about MOST_SETS.
+
+    Sets are dealt into chunks of half a piece, and each goes to the pieces of
+    its chunk with every other one.
+    """
+    chunks = F.greatest(F.ceil(2 * F.col("n") / MOST_SETS), F.ceil(2 * F.col("s") / MOST_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    each = rows.select("bucket", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    return each.select(_key(F.col("bucket"), F.least("own", "other"), F.greatest("own", "other")), "node")
+
+
+def _around_hub(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, node): pieces of at most about MOST_SETS, each with the hub of its bucket.
+
+    The hub is the set nearest to the commonest value at each place of the
+    signatures: the text that the others were made from, or like it. Values
+    are counted before any shuffle to one place.
+    """
+    key = ["order", "bucket"]
+    values = rows.join(sets.select("node", "sig"), "node").select(*key, "node", F.posexplode("sig").alias("i", "v"))
+    common = values.groupBy(*key, "i", "v").agg(F.count(F.lit(1)).alias("c")).groupBy(*key, "i").agg(F.max(F.struct("c", "v")).alias("m"))
+    agree = values.join(common.select(*key, "i", F.col("m.v").alias("v")), [*key, "i", "v"]).groupBy(*key, "node").agg(F.count(F.lit(1)).alias("c"))
+    hubs = agree.groupBy(*key).agg(F.max(F.struct("c", "node"))["node"].alias("hub"))
+    pieces = F.greatest(F.ceil(2 * F.col("n") / MOST_SETS), F.ceil(2 * F.col("s") / MOST_SHINGLES)).cast("int")
+    near = rows.join(hubs, key).select("bucket", "node", "hub", pieces.alias("pieces"))
+    each = near.select(_key(F.col("bucket"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")), "node", "hub")
+    return each.select("bucket", "node").unionByName(each.select("bucket", F.col("hub").alias("node"))).distinct()
+
+
 def _forest(sets: DataFrame) -> DataFrame:
-    """(bucket, node): sets that share a prefix in an order, at the depth of their region."""
+    """(bucket, node): sets that share a prefix in an order, at the depth of their region.
+
+    A bucket of up to MOST_BLOCKED sets is compared all against all, in
+    pieces. A larger one is compared to its hub, in pieces, and its prefix
+    grows until what shares it is small enough.
+    """
     start = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
     step = VALUES // ORDERS
     prefix = lambda depth: F.xxhash64(F.col("order"), F.slice(F.concat("sig", "sig"), F.col("order") * step + 1, depth))
@@ -89,22 +131,21 @@ def _forest(sets: DataFrame) -> DataFrame:
         sizes = keyed.groupBy("order", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).filter("n > 1")
         sizes = materialise(sizes, f"buckets-{depth}")
         fits = (F.col("n") <= MOST_SETS) & (F.col("s") <= MOST_SHINGLES)
-        part = keyed.join(sizes.filter(fits), ["order", "bucket"]).select("bucket", "node")
+        blocks = ~fits & (F.col("n") <= MOST_BLOCKED) & (F.col("s") <= MOST_SHINGLES * (MOST_BLOCKED // MOST_SETS))
+        rows = lambda some: keyed.join(sizes.filter(some), ["order", "bucket"])  # noqa: B023, E731
+        part = rows(fits).select("bucket", "node")
         out = part if out is None else out.unionByName(part)
-        large = sizes.filter(~fits)
-        if large.isEmpty():
+        if not sizes.filter(blocks).isEmpty():
+            out = out.unionByName(_blocked(rows(blocks)))
+        large = ~fits & ~blocks
+        if sizes.filter(large).isEmpty():
+            return out
+        if depth in (DEPTH, VALUES):
+            out = out.unionByName(_around_hub(rows(large), sets))
+        if depth == VALUES:
             return out
-        rest = keyed.join(large.select("order", "bucket", "n", "s"), ["order", "bucket"])
-        if depth >= VALUES:
-            # Equal signatures throughout: pieces of bounded size, each with the same first set, which the others meet.
-            parts = F.ceil(F.greatest(2 * F.col("n") / MOST_SETS, 2 * F.col("s") / MOST_SHINGLES)).cast("int")
-            firsts = rest.groupBy("order", "bucket").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("s").alias("s"))
-            piece = F.xxhash64("bucket", F.pmod(F.xxhash64("node"), parts)).alias("bucket")
-            every = F.explode(F.sequence(F.lit(0), parts - 1)).alias("i")
-            firsts = firsts.select("bucket", "node", every).select(F.xxhash64("bucket", F.col("i").cast("long")).alias("bucket"), "node")
-            return out.unionByName(rest.select(piece, "node")).unionByName(firsts).distinct()
         depth += 1
-        rest = rest.select("order", "node", "n_shingles").join(sets.select("node", "sig"), "node")
+        rest = rows(large).select("order", "node", "n_shingles").join(sets.select("node", "sig"), "node")
         keyed = materialise(rest.select("order", prefix(depth).alias("bucket"), "node", "n_shingles"), f"deeper-{depth}")
 
 
