@@ -164,7 +164,7 @@ def sample_words(docs: DataFrame, most_docs: int = 1500, most_words: int = 15000
     words. The sample, and so what the ranking meets in a task, stays the same
     size as the table grows.
     """
-    ids = docs.filter("lang IS NOT NULL")
+    ids = docs.select("doc_id", "text", "lang").filter("lang IS NOT NULL")
     # A row a language; the hashes are spread evenly, so a share of them is about most_docs documents.
     shares = ids.groupBy("lang").agg(F.least(F.lit(most_docs) / F.count(F.lit(1)), F.lit(1.0)).alias("share"))
     drawn = (F.xxhash64(F.col("doc_id"), F.lit(3)) / F.lit(2.0**64) + 0.5) <= F.col("share")

@@ -201,7 +201,7 @@ def fit_scorer(docs: DataFrame, labelled: DataFrame, most: int = 3000, most_word
     ids = materialise(ids, "posteriors")
     good = F.col("posterior") >= 0.5
     picked = first_by_hash(ids.filter(good), most).unionByName(first_by_hash(ids.filter(~good), most))
-    rows = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * most ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * most ids
 
     def run(batches):
         for b in batches:

@@ -78,6 +78,8 @@ class ShardStore:
     def append(self, arrivals: DataFrame, max_rows: int = 0) -> int:
         """Write arrivals as they are partitioned, without a shuffle, as small shards (``max_rows`` a file, if given)."""
         version = self.version() + 1
+        if version == 1:
+            arrivals.limit(0).write.mode("overwrite").parquet(f"{self.path}/schema")
         folder = f"{self.path}/data/{version}-{uuid.uuid4().hex}"
         arrivals.write.option("maxRecordsPerFile", max_rows).parquet(folder)
         return self.commit(self.manifest(version - 1).unionByName(self._written(folder, version)), version)
@@ -108,8 +110,9 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with the file that holds each in ``_metadata``."""
+        empty = self.spark.read.parquet(f"{self.path}/schema")
         names = [r.file for r in self.manifest(version).select("file").toLocalIterator()]
-        return self.spark.read.parquet(*names)
+        return self.spark.read.schema(empty.schema).parquet(*names) if names else empty
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete folders that none of the last ``keep`` versions names."""

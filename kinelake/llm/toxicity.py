@@ -175,7 +175,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_words: int
     ids = docs.select("doc_id").distinct().join(labels, "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(1)))
     ids = materialise(ids, "labelled")
     picked = first_by_hash(ids.filter("toxic = 1"), most).unionByName(first_by_hash(ids.filter("toxic <> 1"), 2 * most))
-    rows = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "toxic", "lang", "text")  # at most 3 * most ids
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # at most 3 * most ids
 
     def run(batches):
         for batch in batches:
