@@ -1,0 +1 @@
+"""The source system works on finished recordings and most features look ahead: there is nothing to stream."""
