@@ -40,25 +40,40 @@ class ShardStore:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
-    def version(self) -> int:
-        """The latest committed version; 0 for a new store."""
+    def _markers(self) -> dict[int, int]:
+        """Commit markers and their lengths."""
         fs, path = self._hadoop("commits")
-        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
-        return max((int(n) for n in names if n.isdigit()), default=0)
+        files = fs.listStatus(path) if fs.exists(path) else []
+        return {int(f.getPath().getName()): f.getLen() for f in files if f.getPath().getName().isdigit()}
+
+    def version(self) -> int:
+        """The latest committed version; 0 for a new store. A marker without content is of a writer that broke off, and no version."""
+        return max((n for n, size in self._markers().items() if size), default=0)
+
+    def next_version(self) -> int:
+        return max(self._markers(), default=0) + 1
 
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{version}")
+        name = self.spark.read.text(f"{self.path}/commits/{version}").first().value
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{name}")
 
     def commit(self, manifest: DataFrame, version: int) -> int:
-        """Write the manifest, then create its marker: atomic, and never twice."""
+        """Write the manifest under a name of its own, then create the version's marker with that name.
+
+        The marker is never overwritten: of two writers of one version the
+        second fails, and starts over from the version that then holds.
+        """
+        name = f"{version}-{uuid.uuid4().hex}"
+        manifest.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
         fs, done = self._hadoop(f"commits/{version}")
         if fs.exists(done):
             raise FileExistsError(f"version {version} is already committed")
-        manifest.coalesce(1).write.parquet(f"{self.path}/manifests/{version}")
-        fs.create(done, False).close()
+        out = fs.create(done, False)
+        out.write(bytearray(name.encode()))
+        out.close()
         return version
 
     def _tier(self, size):
@@ -77,12 +92,12 @@ class ShardStore:
 
     def append(self, arrivals: DataFrame, max_rows: int = 0) -> int:
         """Write arrivals as they are partitioned, without a shuffle, as small shards (``max_rows`` a file, if given)."""
-        version = self.version() + 1
-        if version == 1:
+        version = self.next_version()
+        if not self.version():
             arrivals.limit(0).write.mode("overwrite").parquet(f"{self.path}/schema")
         folder = f"{self.path}/data/{version}-{uuid.uuid4().hex}"
         arrivals.write.option("maxRecordsPerFile", max_rows).parquet(folder)
-        return self.commit(self.manifest(version - 1).unionByName(self._written(folder, version)), version)
+        return self.commit(self.manifest().unionByName(self._written(folder, version)), version)
 
     def compact(self) -> int:
         """Merge each tier with ``fanout`` shards or more; returns the version that holds then.
@@ -96,7 +111,7 @@ class ShardStore:
         due = [r for r in tiers.filter(F.col("n") >= self.fanout).collect()]
         if not due:
             return before
-        version, merged = before + 1, []
+        version, merged = self.next_version(), []
         for r in sorted(due):
             names = [x.file for x in old.filter(F.col("tier") == r.tier).select("file").toLocalIterator()]
             folder = f"{self.path}/data/{version}-{r.tier}-{uuid.uuid4().hex}"
@@ -116,9 +131,8 @@ class ShardStore:
 
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete folders that none of the last ``keep`` versions names."""
-        last = self.version()
-        live = {f"{r.folder}" for v in range(max(1, last - keep + 1), last + 1)
-                for r in self.manifest(v).select(F.regexp_extract("file", r"/data/([^/]+)/", 1).alias("folder")).distinct().collect()}
+        kept = sorted(n for n, size in self._markers().items() if size)[-keep:]
+        live = {r.folder for v in kept for r in self.manifest(v).select(F.regexp_extract("file", r"/data/([^/]+)/", 1).alias("folder")).distinct().collect()}
         fs, data = self._hadoop("data")
         dead = [s.getPath().getName() for s in fs.listStatus(data) if s.getPath().getName() not in live]
         for name in dead:
