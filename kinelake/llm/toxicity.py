@@ -195,6 +195,33 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_words: int
     return [(int(r.toxic == 1), r.lang, np.frombuffer(r.words, np.int32).reshape(-1, TABLES)) for r in sorted(got, key=lambda r: r.doc_id)]
 
 
+def calibrate(z: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """Platt's scale and shift for logits, with his smoothed targets.
+
+    Logits are brought to unit spread first, and a Newton step that does not
+    lower the loss is halved, so that a separable sample cannot turn the scale
+    over; the scale is positive always.
+    """
+    centre, spread = float(z.mean()), float(z.std()) or 1.0
+    x = np.stack([(z - centre) / spread, np.ones_like(z)])
+    target = np.where(truth == 1, (truth.sum() + 1) / (truth.sum() + 2), 1 / ((1 - truth).sum() + 2))
+
+    def loss(w: np.ndarray) -> float:
+        v = w @ x
+        return float((np.logaddexp(0, v) - target * v).sum() + 5e-3 * w @ w)
+
+    w = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+        step = np.linalg.solve((x * p * (1 - p)) @ x.T + 1e-2 * np.eye(2), x @ (p - target) + 1e-2 * w)
+        while np.abs(step).max() > 1e-9 and not (loss(w - step) < loss(w) and w[0] - step[0] > 0):
+            step = step / 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        w = w - step
+    return float(w[0] / spread), float(w[1] - w[0] * centre / spread)
+
+
 def train(rows: list, default: float = 0.7, precision: float = 0.95) -> Scorer:
     """Fit on four fifths of the sample; the rest calibrates the score (Platt) and the thresholds.
 
@@ -217,13 +244,8 @@ def train(rows: list, default: float = 0.7, precision: float = 0.95) -> Scorer:
     net.known = None
     held = [d for d, o in zip(docs, out) if o]
     z = np.concatenate([net.logits(d, np.array([0, len(d)])) for d in held])
-    truth, a, b = y[out].astype(float), 1.0, 0.0
-    target = np.where(truth == 1, (truth.sum() + 1) / (truth.sum() + 2), 1 / ((1 - truth).sum() + 2))
-    for _ in range(50):  # Newton steps of Platt's fit, lightly held
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        x = np.stack([z, np.ones_like(z)])
-        step = np.linalg.solve((x * p * (1 - p)) @ x.T + 1e-2 * np.eye(2), x @ (p - target) + 1e-2 * np.array([a - 1, b]))
-        a, b = a - step[0], b - step[1]
+    truth = y[out].astype(float)
+    a, b = calibrate(z, truth)
     scorer = Scorer(net, float(a), float(b))
     scores = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
     langs = np.array([str(r[1]) for r, o in zip(rows, out) if o])
