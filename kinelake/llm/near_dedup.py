@@ -223,28 +223,34 @@ def _verify(batches, schema: pa.Schema):
                 if len(nodes) > 1:
                     yield close()
                 gid, nodes, sets = g.as_py(), [], []
+            if nodes and nodes[-1] == node.as_py():
+                continue  # the set of a row that repeats
             nodes.append(node.as_py()), sets.append(np.frombuffer(s.as_buffer(), np.uint64))
     if len(nodes) > 1:
         yield close()
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) for the (doc_id, node) rows wanted, from whole texts."""
+    """(node, shingles) for the (doc_id, node) rows wanted, from whole texts; a row that repeats, once for each."""
     spark = docs.sparkSession
     schema = arrow_schema(spark.createDataFrame([], SETS).schema)
 
     def run(batches):
         for b in batches:
+            asked = b.column(b.schema.get_field_index("node")).to_numpy()
             for words in token_batches(column(b, "text"), lower=True):
                 h, bounds = shingle_sets(words, SHINGLE)
-                found = [h[x:y].tobytes() for x, y in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(set_nodes(h, bounds)), pa.array(found, pa.binary())], schema=schema)
+                nodes = set_nodes(h, bounds)
+                # Rows may share a doc_id without sharing a text.
+                own = np.flatnonzero(nodes == asked[words.rows])
+                found = [h[bounds[i] : bounds[i + 1]].tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(found, pa.binary())], schema=schema)
 
-    ids = wanted.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return found.select("text").mapInArrow(run, SETS)
+    wanted = materialise(wanted.select("doc_id", "node"), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id")
+    return found.select("node", "text").mapInArrow(run, SETS)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -268,7 +274,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = buckets.mapInArrow(lambda batches: (_candidates(b, group_schema) for b in batches if b.num_rows), GROUP)
     groups = materialise(groups.distinct(), "groups")
     wanted = nodes.select("doc_id", "node").join(groups.select("node").distinct(), "node")
-    full = materialise(_full_sets(docs, wanted).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    full = _full_sets(docs, wanted)
     link_schema = arrow_schema(spark.createDataFrame([], LINKS).schema)
     rows = groups.join(full, "node").select("gid", "node", "shingles")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
