@@ -200,7 +200,7 @@ def identify(docs: DataFrame, training: DataFrame, held_out, vocabulary: str = V
 
 def _predict(batch: pa.RecordBatch, model: PieceModel, scaled: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
     texts = column(batch, "text")
-    letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+    letters = pc.match_substring_regex(texts, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
     data, offsets = raw(texts)
     score = np.zeros((len(texts), max(len(model.langs), 1)))
     for rows in slices(offsets, CHUNK) if model.langs else ():

@@ -28,12 +28,13 @@ class ShardStore:
 
     target_bytes: size of a finished shard; small_bytes: size of tier 0, the
     tiers above are ``fanout`` times larger each; a tier is merged when it has
-    ``fanout`` shards at least.
+    ``fanout`` shards at least; row_group: bytes of a row group of merged
+    shards, which a writing task buffers.
     """
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 256 * MB, small_bytes: int = 4 * MB, fanout: int = 4):
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 256 * MB, small_bytes: int = 4 * MB, fanout: int = 4, row_group: int = 32 * MB):
         self.spark, self.path = spark, path.rstrip("/")
-        self.target, self.small, self.fanout = target_bytes, small_bytes, fanout
+        self.target, self.small, self.fanout, self.row_group = target_bytes, small_bytes, fanout, row_group
 
     def _hadoop(self, name: str):
         jvm = self.spark._jvm
@@ -116,7 +117,7 @@ class ShardStore:
             names = [x.file for x in old.filter(F.col("tier") == r.tier).select("file").toLocalIterator()]
             folder = f"{self.path}/data/{version}-{r.tier}-{uuid.uuid4().hex}"
             files = max(1, round(r.bytes / self.target))
-            self.spark.read.parquet(*names).coalesce(files).write.parquet(folder)
+            self.spark.read.parquet(*names).coalesce(files).write.option("parquet.block.size", self.row_group).parquet(folder)
             merged.append(self._written(folder, version))
         new = old.filter(~F.col("tier").isin([r.tier for r in due]))
         for m in merged:

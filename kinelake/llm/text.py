@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -96,16 +96,16 @@ class Words:
 
 
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
-    """A text column with nulls as empty text and 64-bit offsets."""
+    """A text column in one array."""
     array = batch.column(batch.schema.get_field_index(name))
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
-    return array.cast(pa.large_string()).fill_null("")
+    return array if pa.types.is_string(array.type) or pa.types.is_large_string(array.type) else array.cast(pa.string())
 
 
 def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a large_string array and its offsets."""
-    n = len(array)
+    """The UTF-8 bytes of a text array, nulls as empty text, and its offsets."""
+    n, array = len(array), array.cast(pa.large_string()).fill_null("")
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = array.buffers()
@@ -114,6 +114,14 @@ def raw(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(array: pa.Array, most: int = CHUNK_BYTES) -> Iterator[slice]:
+    """Runs of whole documents of about ``most`` bytes, from the offsets alone: a batch is never copied as a whole."""
+    if len(array):
+        kind = np.int32 if pa.types.is_string(array.type) else np.int64
+        offsets = np.frombuffer(array.buffers()[1], kind)[array.offset : array.offset + len(array) + 1]
+        yield from slices(offsets.astype(np.int64), most)
+
+
 def slices(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[slice]:
     """Runs of whole documents of about ``most`` bytes."""
     n, at = len(offsets) - 1, 0
@@ -151,9 +159,11 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, rows: slice, lower: bool = F
 
 
 def token_batches(array: pa.Array, lower: bool = False, most: int = CHUNK_BYTES, space: np.ndarray = SPACE) -> Iterator[Words]:
-    data, offsets = raw(array)
-    for rows in slices(offsets, most):
-        yield tokenize(data, offsets, rows, lower, space)
+    for rows in pieces(array, most):
+        data, offsets = raw(array.slice(rows.start, rows.stop - rows.start))
+        words = tokenize(data, offsets, slice(0, len(offsets) - 1), lower, space)
+        words.rows = rows
+        yield words
 
 
 def shingle_sets(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
