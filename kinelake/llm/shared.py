@@ -78,5 +78,5 @@ def first_by_hash(df: DataFrame, most: int, *keys: str) -> DataFrame:
     n = df.count()
     if n > 2 * most:
         share = 2 * most / n + 4 * (2 * most) ** 0.5 / n
-        df = df.filter(F.col("h") < F.lit(int(min(share, 1.0) * 2.0**64 - 2.0**63)))
+        df = df.filter(F.col("h") <= F.lit(min(int(share * 2.0**64 - 2.0**63), 2**63 - 1)))
     return df.orderBy("h", *keys).limit(most)

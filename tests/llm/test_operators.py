@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelake.llm import components, decontaminate, exact_dedup, langid, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity
-from kinelake.llm.shared import new_path
+from kinelake.llm.shared import first_by_hash, new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # Names that the operators use inside.
@@ -121,6 +121,10 @@ def test_sharding_round_trip_tiers_and_versions(spark, docs, empty):
     assert key(store.read(1)) == key(docs.filter("doc_id % 4 = 0"))
     with pytest.raises(FileExistsError):
         store.commit(store.manifest(), store.version())
+    fs, path = store._hadoop(f"commits/{store.next_version()}")
+    fs.create(path, False).close()  # a writer that broke off
+    broken = store.version()
+    assert store.append(docs.limit(0)) == broken + 2 and key(store.read()) == key(docs)
     store.vacuum(1)
     assert key(store.read()) == key(docs)
     assert sharding.placement(sharding.shard(empty)).count() == 0
@@ -281,6 +285,14 @@ def test_toxicity_learns_and_scores_every_text(spark, docs, empty):
     assert toxicity.score(empty, toxicity.train_scorer(empty, labels.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("gap", [0.01, 1.0, 50.0, 5000.0])
+def test_calibration_keeps_the_order_of_separable_logits(gap):
+    z = np.concatenate([np.full(900, -gap), np.full(90, -gap) + 1e-3 * gap * np.arange(90), np.linspace(gap, 3 * gap, 110)])
+    a, b = toxicity.calibrate(z, (np.arange(1100) >= 990).astype(float))
+    p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+    assert a > 0 and p[:990].max() < 0.3 and p[990:].min() > 0.7
+
+
 def test_quality_finds_defects_without_labels(spark, docs, empty):
     rng = random.Random(8)
     rows = []
@@ -296,6 +308,13 @@ def test_quality_finds_defects_without_labels(spark, docs, empty):
     assert quality.classify(docs).count() == len(corpus()) and quality.classify(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 5, 21, 40, 2000])
+def test_samples_are_the_first_by_hash(spark, n):
+    df = spark.range(n).select("id", F.xxhash64("id").alias("h"))
+    want = sorted((r.h, r.id) for r in df.collect())[:10]
+    assert [(r.h, r.id) for r in first_by_hash(df, 10, "id").collect()] == want
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(5)
     y = rng.random(20000) < 0.8
