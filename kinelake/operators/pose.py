@@ -18,9 +18,13 @@ DROPPED_PARTS = (
 )
 
 
+# Labs and condition of recordings of sleep.
+SLEEP_LAB, SLEEP_CONDITION = "MABe22", "lights on"
+
+
 def is_sleeping() -> Column:
-    """A recording of the MABe22 labs with the lights on; an unknown condition isn't."""
-    return F.coalesce(F.col("lab_id").contains("MABe22") & (F.lower("mouse1_condition") == "lights on"), F.lit(False))
+    """A recording of sleep, by its lab and condition; an unknown condition isn't."""
+    return F.coalesce(F.col("lab_id").contains(SLEEP_LAB) & (F.lower("mouse1_condition") == SLEEP_CONDITION), F.lit(False))
 
 
 def drop_sleeping(metadata: DataFrame) -> DataFrame:
