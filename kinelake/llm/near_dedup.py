@@ -2,17 +2,21 @@
 
 Every distinct set of word shingles has a MinHash signature. The forest is
 several sorted orders of the signatures, each starting at another place of
-them; documents with a long common prefix in an order are candidates. The
-depth of the prefix adapts to the region: it starts at three values and grows
-where more sets share a prefix than can be compared with each other. What shares a
-prefix is compared on full sets, exactly and all against all, and only a
-spanning set of links leaves the comparison, so neither copies nor near copies
-are ever written out as pairs.
+them; documents with a common prefix of three values in an order are
+candidates. What shares a prefix is compared on full sets, exactly and all
+against all, and only a spanning set of links leaves the comparison, so neither
+copies nor near copies are ever written out as pairs.
+
+Sets of regions over MOST_BLOCKED distinct sets are joined by prefix filtering
+on their full sets instead: of two sets at 0.85, the rarest shingles of the one
+(15 % and one more) and of the other have one in common, in any order of all
+shingles. Sets that are linked to the hub of a region are compared no further
+among each other.
 
 Chance: two sets at 0.85 agree in three values with 0.61, so that all sixteen
-orders miss them has a chance below 1 in 4 million. Regions over MOST_BLOCKED
-distinct sets miss more single links as they deepen (1 in 3,000 at depth six),
-but hold many, and all their sets meet the region's hub as well.
+orders miss them has a chance below 1 in 4 million; that they agree in fewer
+than LEAST_EQUAL values in all is less likely still. The size of a region
+changes neither.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ SHINGLE, PERCENT = 5, 85
 VALUES, ORDERS, DEPTH = 48, 16, 3
 #: The most sets, and shingles of them, that are compared in one piece.
 MOST_SETS, MOST_SHINGLES = 1024, 4_000_000
-#: Larger regions than this are no longer compared all against all at depth three.
+#: Larger regions than this are compared by their rarest shingles, not all against all.
 MOST_BLOCKED = 8192
+#: Slots in which shingles of larger regions are counted, by their hash.
+SLOTS = 1 << 21
 #: Pairs that agree in fewer values aren't compared: at 0.85, six standard deviations below the mean.
 LEAST_EQUAL = 26
 #: Up to so many ids (a few MB) are broadcast; more are joined by a shuffle.
@@ -43,6 +49,7 @@ SKETCH = "doc_id long, n_shingles long, node long, sig array<int>"
 GROUP = "gid long, node long"
 SETS = "node long, shingles binary"
 LINKS = "a long, b long"
+TOKENS = "token long, node long, n_shingles long"
 
 
 def set_nodes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -95,8 +102,8 @@ def _blocked(rows: DataFrame) -> DataFrame:
     return each.select(_key(F.col("bucket"), F.least("own", "other"), F.greatest("own", "other")), "node")
 
 
-def _around_hub(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(bucket, node): pieces of at most about MOST_SETS, each with the hub of its bucket.
+def _hubs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(order, bucket, hub) of (order, bucket, node) rows.
 
     The hub is the set nearest to the commonest value at each place of the
     signatures: the text that the others were made from, or like it. Values
@@ -106,47 +113,153 @@ def _around_hub(rows: DataFrame, sets: DataFrame) -> DataFrame:
     values = rows.join(sets.select("node", "sig"), "node").select(*key, "node", F.posexplode("sig").alias("i", "v"))
     common = values.groupBy(*key, "i", "v").agg(F.count(F.lit(1)).alias("c")).groupBy(*key, "i").agg(F.max(F.struct("c", "v")).alias("m"))
     agree = values.join(common.select(*key, "i", F.col("m.v").alias("v")), [*key, "i", "v"]).groupBy(*key, "node").agg(F.count(F.lit(1)).alias("c"))
-    hubs = agree.groupBy(*key).agg(F.max(F.struct("c", "node"))["node"].alias("hub"))
-    pieces = F.greatest(F.ceil(2 * F.col("n") / MOST_SETS), F.ceil(2 * F.col("s") / MOST_SHINGLES)).cast("int")
-    near = rows.join(hubs, key).select("bucket", "node", "hub", pieces.alias("pieces"))
-    each = near.select(_key(F.col("bucket"), F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")), "node", "hub")
-    return each.select("bucket", "node").unionByName(each.select("bucket", F.col("hub").alias("node"))).distinct()
+    return agree.groupBy(*key).agg(F.max(F.struct("c", "node"))["node"].alias("hub"))
+
+
+def _linked_to_hub(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The (node, hub) pairs that are linked, as (a, b); a hub's pairs are dealt into pieces."""
+    schema = arrow_schema(pairs.sparkSession.createDataFrame([], LINKS).schema)
+
+    def run(batches):
+        for b in batches:
+            sets = [[np.frombuffer(s.as_buffer(), np.uint64) for s in b.column(i)] for i in (2, 3)]
+            own = pa.array([bool(linked([x, y])[0, 1]) for x, y in zip(*sets)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=schema).filter(own)
+
+    pieces = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MOST_SETS).cast("int").alias("pieces"))
+    near = pairs.join(pieces, "hub").withColumn("piece", F.pmod(F.xxhash64("node"), "pieces").cast("int")).drop("pieces").join(full, "node")
+    core = pieces.select("hub", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")).join(full.toDF("hub", "core"), "hub")
+    return near.join(core, ["hub", "piece"]).select("node", "hub", "shingles", "core").mapInArrow(run, LINKS)
+
+
+def _around_hubs(rows: DataFrame, sets: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b): links of sets to a hub of their region.
+
+    What is not linked goes around again, with a hub of its own, as long as a
+    round links a tenth of its sets. The rounds save comparisons only: what
+    they leave apart is compared by its rarest shingles.
+    """
+    key, links = ["order", "bucket"], None
+    rows = rows.select(*key, "node")
+    while True:
+        hubs = materialise(_hubs(rows, sets), "hubs")
+        pairs = materialise(rows.join(hubs, key).filter("node <> hub").select("node", "hub").distinct(), "around-hubs")
+        found = materialise(_linked_to_hub(pairs, full), "hub-links")
+        links = found if links is None else links.unionByName(found)
+        done = found.select("a").distinct()
+        if 10 * done.count() < rows.select("node").distinct().count():
+            return links
+        rest = rows.join(done.toDF("node").unionByName(hubs.select(F.col("hub").alias("node"))).distinct(), "node", "left_anti")
+        many = rest.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_SETS).select(*key)
+        rows = materialise(rest.join(many, key), "apart")
+        if rows.isEmpty():
+            return links
+
+
+def _batch_sets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of a batch of (node, shingles), and the bounds of its sets."""
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in b.column(1)]
+    return np.concatenate([np.zeros(0, np.uint64), *sets]), np.cumsum([0, *map(len, sets)])
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _rarest(full: DataFrame) -> DataFrame:
+    """(token, node, n_shingles): the rarest shingles of each set, so many that two linked sets have one in common.
+
+    A set of n shingles shares at least ceil(0.85 n) with any that it is
+    linked to, so n - ceil(0.85 n) + 1 of its shingles do, the first of one
+    order of all shingles. The order is by counts of slots, then by hash: counts
+    that are too large for some shingles make longer lists, never lost pairs.
+    """
+    spark = full.sparkSession
+
+    def count(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            total += np.bincount(_slot(_batch_sets(b)[0]), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+    counts = full.select("node", "shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+    often, schema = spark.sparkContext.broadcast(often), arrow_schema(spark.createDataFrame([], TOKENS).schema)
+
+    def run(batches):
+        for b in batches:
+            h, bounds = _batch_sets(b)
+            n = np.diff(bounds)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, often.value[_slot(h)], row))
+            first = np.arange(len(h)) - bounds[row] < (n - -(-PERCENT * n // 100) + 1)[row]
+            h, row = h[order][first], row[first]
+            node = b.column(0).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(n[row])], schema=schema)
+
+    return full.select("node", "shingles").mapInArrow(run, TOKENS).distinct()
 
 
-def _forest(sets: DataFrame) -> DataFrame:
-    """(bucket, node): sets that share a prefix in an order, at the depth of their region.
+def _across(rows: DataFrame) -> DataFrame:
+    """(bucket, node) of (token, node, n_shingles, class): every two sets of a token that are not of one class meet.
 
-    A bucket of up to MOST_BLOCKED sets is compared all against all, in
-    pieces. A larger one is compared to its hub, in pieces, and its prefix
-    grows until what shares it is small enough.
+    Tokens of up to MOST_SETS sets are one piece. The sets of larger ones are
+    dealt into chunks of half a piece, those of the commonest class apart;
+    two chunks meet unless both are of that class.
+    """
+    classes = rows.groupBy("token", "class").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("cs"))
+    sizes = classes.groupBy("token").agg(F.sum("c").alias("n"), F.sum("cs").alias("s"), F.max(F.struct("c", "class", "cs")).alias("big")).filter("n > big.c")
+    sizes = materialise(sizes, "tokens")
+    fits = (F.col("n") <= MOST_SETS) & (F.col("s") <= MOST_SHINGLES)
+    out = rows.join(sizes.filter(fits), "token").select(_key(F.lit(-1), F.col("token")), "node")
+    if sizes.filter(~fits).isEmpty():
+        return out
+    chunks = lambda n, s: F.greatest(F.ceil(2 * n / MOST_SETS), F.ceil(2 * s / MOST_SHINGLES)).cast("int")
+    large = sizes.filter(~fits).select(
+        "token", F.col("big.class").alias("most"), chunks(F.col("big.c"), F.col("big.cs")).alias("alike"),
+        chunks(F.col("n") - F.col("big.c"), F.col("s") - F.col("big.cs")).alias("others"),
+    )
+    rows = rows.join(large, "token")
+    of_most = F.col("class") == F.col("most")
+    own = F.when(of_most, F.col("others") + F.pmod(F.xxhash64("node"), "alike")).otherwise(F.pmod(F.xxhash64("node"), "others")).cast("int")
+    last = F.when(of_most, F.col("others")).otherwise(F.col("others") + F.col("alike")) - 1
+    each = rows.select("token", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return out.unionByName(each.select(_key(F.lit(-1), F.col("token"), F.least("own", "other"), F.greatest("own", "other")), "node"))
+
+
+def _large_regions(docs: DataFrame, sets: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) to hubs, and buckets (bucket, node) in which all other linked sets of large regions meet."""
+    wanted = sets.select("doc_id", "node").join(rows.select("node").distinct(), "node")
+    full = materialise(_full_sets(docs, wanted), "region-sets")
+    links = _around_hubs(rows, sets, full)
+    classes = components(links)
+    tokens = _rarest(full).join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    return links, _across(materialise(tokens.drop("component"), "rarest"))
+
+
+def _forest(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, node): sets that share a prefix in an order; and (order, bucket, node) of regions over MOST_BLOCKED, if any.
+
+    A bucket of up to MOST_BLOCKED sets is compared all against all, in pieces.
     """
     start = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
     step = VALUES // ORDERS
-    prefix = lambda depth: F.xxhash64(F.col("order"), F.slice(F.concat("sig", "sig"), F.col("order") * step + 1, depth))
-    keyed = sets.select("node", "n_shingles", start.alias("order"), "sig").select(
-        "order", prefix(DEPTH).alias("bucket"), "node", "n_shingles"
-    )
-    depth, out = DEPTH, None
-    while True:
-        sizes = keyed.groupBy("order", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).filter("n > 1")
-        sizes = materialise(sizes, f"buckets-{depth}")
-        fits = (F.col("n") <= MOST_SETS) & (F.col("s") <= MOST_SHINGLES)
-        blocks = ~fits & (F.col("n") <= MOST_BLOCKED) & (F.col("s") <= MOST_SHINGLES * (MOST_BLOCKED // MOST_SETS))
-        rows = lambda some: keyed.join(sizes.filter(some), ["order", "bucket"])  # noqa: B023, E731
-        part = rows(fits).select("bucket", "node")
-        out = part if out is None else out.unionByName(part)
-        if not sizes.filter(blocks).isEmpty():
-            out = out.unionByName(_blocked(rows(blocks)))
-        large = ~fits & ~blocks
-        if sizes.filter(large).isEmpty():
-            return out
-        if depth in (DEPTH, VALUES):
-            out = out.unionByName(_around_hub(rows(large), sets))
-        if depth == VALUES:
-            return out
-        depth += 1
-        rest = rows(large).select("order", "node", "n_shingles").join(sets.select("node", "sig"), "node")
-        keyed = materialise(rest.select("order", prefix(depth).alias("bucket"), "node", "n_shingles"), f"deeper-{depth}")
+    prefix = F.xxhash64(F.col("order"), F.slice(F.concat("sig", "sig"), F.col("order") * step + 1, DEPTH))
+    keyed = sets.select("node", "n_shingles", start.alias("order"), "sig").select("order", prefix.alias("bucket"), "node", "n_shingles")
+    sizes = keyed.groupBy("order", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).filter("n > 1")
+    sizes = materialise(sizes, "buckets")
+    fits = (F.col("n") <= MOST_SETS) & (F.col("s") <= MOST_SHINGLES)
+    blocks = ~fits & (F.col("n") <= MOST_BLOCKED) & (F.col("s") <= MOST_SHINGLES * (MOST_BLOCKED // MOST_SETS))
+    rows = lambda some: keyed.join(sizes.filter(some), ["order", "bucket"])
+    out = rows(fits).select("bucket", "node")
+    if not sizes.filter(blocks).isEmpty():
+        out = out.unionByName(_blocked(rows(blocks)))
+    large = ~fits & ~blocks
+    if sizes.filter(large).isEmpty():
+        return out, None
+    return out, materialise(rows(large).select("order", "bucket", "node"), "large")
 
 
 def _spread(links: np.ndarray) -> np.ndarray:
@@ -268,7 +381,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
     )
     nodes = materialise(nodes.filter("doc_id IS NOT NULL"), "nodes")
-    members = _forest(nodes).join(nodes.select("node", "sig"), "node")
+    meet, large = _forest(nodes)
+    if large is not None:
+        hub_links, more = _large_regions(docs, nodes, large)
+        meet = meet.unionByName(more)
+    members = meet.join(nodes.select("node", "sig"), "node")
     buckets = members.groupBy("bucket").agg(F.collect_list(F.struct("node", "sig")).alias("members")).select("members")
     group_schema = arrow_schema(spark.createDataFrame([], GROUP).schema)
     groups = buckets.mapInArrow(lambda batches: (_candidates(b, group_schema) for b in batches if b.num_rows), GROUP)
@@ -280,7 +397,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "gid").sortWithinPartitions("gid", "node")
     found = rows.mapInArrow(lambda batches: _verify(batches, link_schema), LINKS)
-    found = materialise(found, "links")
+    found = materialise(found if large is None else found.unionByName(hub_links), "links")
     # Nodes and the documents that have them, by smallest doc_id.
     first = nodes.select("node", "doc_id")
     links = found.join(first.toDF("a", "u"), "a").join(first.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))

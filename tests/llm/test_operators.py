@@ -181,6 +181,29 @@ def test_near_dedup_in_a_crowded_region(spark, monkeypatch, blocked):
     assert got == brute_components({i: shingles(t) for i, t in rows})
 
 
+def test_near_dedup_in_large_regions_without_a_hub(spark, monkeypatch):
+    """Two templates whose texts are at 0.844 to each other and to any hub; planted pairs are at 0.856."""
+    monkeypatch.setattr(near_dedup, "MOST_SETS", 16)
+    monkeypatch.setattr(near_dedup, "MOST_BLOCKED", 16)
+    rng, rows = random.Random(5), []
+    for t in range(2):
+        base = [f"t{t}w{k}" for k in range(300)]
+        for i in range(100):
+            words = list(base)
+            for k in (20, 40, 60, 80, 100):
+                words[k] = f"x{rng.randint(0, 10**9)}"
+            rows.append((len(rows), " ".join(words)))
+            if i % 3 == 0:
+                at = rng.randrange(120, 220)
+                for k in (at, at + 1, at + 2, at + 3, at + 20, at + 40, at + 60):
+                    words[k] = f"y{rng.randint(0, 10**9)}"
+                rows.append((len(rows), " ".join(words)))
+    want = brute_components({i: shingles(t) for i, t in rows})
+    assert sum(want[i] != i for i in want) == 68
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_components_of_long_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (41, 60), (60, 41)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
