@@ -1,7 +1,8 @@
 """Benchmark decontamination with SimHash windows.
 
 A benchmark item of n words is compared to every window of n words of every
-document. Windows and items have 64-bit SimHash fingerprints of their weighted
+document, and to the whole of a document that has fewer. An item of one to
+four words is one shingle, found by its hash. Other windows and items have 64-bit SimHash fingerprints of their weighted
 five-word shingles (a shingle weighs as many bytes as its words have). Eight
 8-bit blocks index the items' fingerprints: of two fingerprints at most RADIUS
 bits apart, one block at least differs in RADIUS // 8 bits or fewer, so the
@@ -51,16 +52,21 @@ def _weights(words, first: np.ndarray) -> np.ndarray:
 
 
 class BenchmarkIndex:
-    """Items by size, their shingles, and a multi-index of their fingerprints. Items under five words match nothing."""
+    """Items by size, their shingles, and a multi-index of their fingerprints; items under five words by their hash."""
 
     def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY):
         self.similarity, self.ids, self.counts, self.total, prints, sizes = similarity, [], [], [], [], []
         weight_of: dict[int, int] = {}
+        self.short: dict[int, dict[int, list[int]]] = {}
         for item_id, text in items:
             data, offsets = raw(pa.array([text or ""], pa.large_string()))
             words = tokenize(data, offsets, slice(0, 1), True, PUNCTUATION)
-            h, _, first = words.windows(SHINGLE)
-            if item_id is None or not len(h):
+            n = len(words.hashes)
+            if item_id is None or not n:
+                continue
+            h, _, first = words.windows(min(n, SHINGLE))
+            if n < SHINGLE:
+                self.short.setdefault(n, {}).setdefault(int(h[0]), []).append(item_id)
                 continue
             w = _weights(words, first)
             self.ids.append(item_id)
@@ -86,6 +92,7 @@ class BenchmarkIndex:
 
     def matches(self, words):
         """(document of the batch, item, similarity, first word, words) for each pair, at its best window."""
+        yield from self._short_matches(words)
         if not len(self.shingles):
             return
         h, doc, first = words.windows(SHINGLE)
@@ -100,15 +107,24 @@ class BenchmarkIndex:
             for found in self._document(h[lo:hi], weight[lo:hi], inside).values():
                 yield int(d), *found
 
+    def _short_matches(self, words):
+        for n, ids in self.short.items():
+            h, doc, first = words.windows(n)
+            hits = np.flatnonzero(np.isin(h, np.array(sorted(ids), np.uint64)))
+            order = hits[np.lexsort((first[hits], h[hits], doc[hits]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+            for i in order[new]:
+                for item_id in ids[int(h[i])]:
+                    yield int(doc[i]), item_id, 1.0, int(first[i] - words.bounds[doc[i]]), n
+
     def _document(self, h: np.ndarray, weight: np.ndarray, hits: np.ndarray) -> dict:
         best: dict[int, tuple] = {}
         own = np.zeros(len(h) + 1, np.int64)
         own[hits + 1] = weight[hits]
         own = np.cumsum(own)
         for n, items in self.by_size.items():
-            width = n - SHINGLE + 1
-            if len(h) < width:
-                continue
+            width = min(n - SHINGLE + 1, len(h))
             starts = np.flatnonzero(own[width:] - own[: len(own) - width] >= self.least[n])
             at = 0
             while at < len(starts):
@@ -135,7 +151,7 @@ class BenchmarkIndex:
                 continue
             similarity = self._similarity(h[s : s + width], weight[s : s + width], which)
             if similarity >= self.similarity and similarity > best.get(which, (0, 0.0))[1]:
-                best[which] = (self.ids[which], similarity, s, n)
+                best[which] = (self.ids[which], similarity, s, width + SHINGLE - 1)
 
     def _similarity(self, h: np.ndarray, weight: np.ndarray, item: int) -> float:
         other, both = self.counts[item], 0
@@ -159,9 +175,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """(doc_id, item_id, similarity, first_word, n_words) for each document that has a window like an item.
 
     One row per document row and item, at the most similar window. Words are
-    runs of letters and digits, ASCII letters in lower case. Null and empty
-    texts match nothing; neither do items of fewer than five words, or without
-    an item_id. No shuffle: documents stay where they are read, and the
+    runs of letters and digits, ASCII letters in lower case. A document with
+    fewer words than the item is its own window; an item of one to four words
+    is found wherever its words follow each other. Texts without words match
+    nothing; neither do items without an item_id. No shuffle: documents stay where they are read, and the
     benchmark comes to them in blocks of bounded size.
     """
     spark = docs.sparkSession

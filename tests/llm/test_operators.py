@@ -270,6 +270,31 @@ def test_decontamination_matches_every_window(spark, docs, empty):
     assert sorted(i for block in small for i, _ in block) == [0, 1, 2, 3, 9, 10]
 
 
+def test_decontamination_of_short_documents_and_items(spark):
+    """Documents with fewer words than an item are one window; items under five words are one shingle."""
+    rng = random.Random(12)
+    long = [f"{rng.choice('klmnop')}{rng.randint(0, 500)}" for _ in range(59)]
+    items = {1: " ".join(long), 2: "alpha Beta", 3: "gamma", 4: "one two three four", 5: "alpha, beta", 6: "v1 v2 v3 v4 v5 v6", 7: "..."}
+    rows = [(i, " ".join(long[:n])) for i, n in enumerate((58, 50, 49, 48, 45, 20, 4, 0))]
+    rows += [(10, "x ALPHA beta y alpha beta"), (11, "alpha x beta gamma"), (12, "one two three"), (13, "z one two three four."), (14, "v1 v2 v3 v4 v5"), (15, None), (16, "gamma"), (17, "beta"), (18, " ".join(long[3:]))]
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else Counter()
+    weigh = lambda c: sum(n * sum(map(len, g)) for g, n in c.items())
+    want = {}
+    for d, t in rows:
+        for i, item in items.items():
+            w, g, n = words(t), grams(words(item)), len(words(item))
+            size = min(n, len(w))
+            found = [(weigh(x & g) / weigh(x | g), -k) for k in range(len(w) - size + 1) if size for x in [grams(w[k : k + size])]]
+            if found and max(found)[0] >= 0.8:
+                want[d, i] = (max(found)[0], -max(found)[1], size)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word, r.n_words) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert {(0, 1), (1, 1), (18, 1), (10, 2), (10, 5), (11, 3), (13, 4), (16, 3)} <= set(want) and not {12, 14, 17} & {d for d, _ in want}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 200, dtype=np.uint64)
