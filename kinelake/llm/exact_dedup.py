@@ -8,12 +8,12 @@ index, and what remains is appended.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, table
+from .shared import discard, file_system, join_counted, materialise, scratch_path, table
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -32,64 +32,80 @@ class DigestIndex:
     """A bucketed Parquet table of every digest seen so far.
 
     ``path`` lies in storage that all machines share; opening the same path
-    with the same number of buckets later continues the index. Buckets are a
-    property of the table: choose them for the size it is to reach (a few
-    hundred MB a bucket).
+    with the same number of buckets later continues the index, and another
+    number is refused. Buckets are a property of the table: choose them for
+    the size it is to reach (a few hundred MB a bucket).
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.name = f"digest_index_{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path.rstrip("/")
+        self._claim(buckets)
+        self.buckets = buckets
+        self.name = "digest_index_" + hashlib.md5(self.path.encode()).hexdigest()
+        self.close()
         spark.sql(
             f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _claim(self, buckets: int) -> None:
+        """Note the number of buckets beside the data, where readers of the table don't look; refuse another one."""
+        fs, folder = file_system(self.spark, f"{self.path}/_buckets")
+        if not fs.exists(folder):
+            fs.mkdirs(file_system(self.spark, f"{self.path}/_buckets/{buckets}")[1])
+        found = sorted(int(s.getPath().getName()) for s in fs.listStatus(folder))
+        if found != [buckets]:
+            raise ValueError(f"the index at {self.path} has {found} buckets, not {buckets}")
+
+    def close(self) -> None:
+        """Take the table out of the catalog; its files stay, and so do results that read them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, arrivals: DataFrame) -> None:
-        """Add the digests of (doc_id, digest) rows that the index lacks.
+    def append(self, groups: DataFrame) -> None:
+        """Enter the digests of (digest, first_id, n) rows that the index lacks, with their first_id.
 
-        Of equal new texts the smallest doc_id is entered; a digest that the
-        index already holds keeps its first entry. Null ids are never entered.
+        A digest that the index already holds keeps its first entry. Null ids
+        are never entered.
         """
-        fresh = arrivals.groupBy("digest").agg(F.min("doc_id").alias("keep_id")).filter("keep_id IS NOT NULL")
-        fresh = fresh.join(self.entries().select("digest"), "digest", "left_anti")
+        fresh = groups.filter("first_id IS NOT NULL").join(self.entries().select("digest"), "digest", "left_anti")
         # One file a bucket and append: the table's own hash partitioning, sorted.
         (
             fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-            .select("digest", "keep_id")
+            .select("digest", F.col("first_id").alias("keep_id"))
             .write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest")
             .option("path", self.path).saveAsTable(self.name)
         )
 
-    def resolve(self, arrivals: DataFrame) -> DataFrame:
-        """One row per arrival: doc_id, keep_id, group_size, kept, text_sha256.
-
-        Group sizes are summed before the shuffle, and the entry joins the
-        summed rows; arrivals meet one row per digest, in a sort-merge join
-        whose skewed side adaptive execution can split.
-        """
-        groups = arrivals.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-        known = groups.join(self.entries(), "digest", "left")
-        return arrivals.join(known, "digest").select(
-            "doc_id", "keep_id", "group_size",
-            F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
-            F.col("digest").alias("text_sha256"),
-        )
-
 
 def exact_dedup(docs: DataFrame, path: str | None = None, buckets: int = 64) -> DataFrame:
     """Deduplicate ``docs`` against the index at ``path`` (new and empty if None), and enter them.
 
-    Null texts count as empty and equal the empty text. Repeated rows with one
-    doc_id are all kept or all dropped. An empty table gives an empty result.
+    One row per document row: doc_id, keep_id, group_size, kept, text_sha256.
+    Texts are normalised and hashed once. Copies are counted before any
+    shuffle; the documents of a digest that a large share of them has meet
+    its one row where they are, not in one task. Null texts count as empty
+    and equal the empty text. Repeated rows with one doc_id are all kept or
+    all dropped; without a doc_id a row is never kept, and its keep_id is
+    null if no equal text has one. An empty table gives an empty result.
     """
-    index = DigestIndex(docs.sparkSession, path or new_path(docs.sparkSession, "digests"), buckets)
-    arrivals = digests(docs)
-    index.append(arrivals)
-    return index.resolve(arrivals)
+    spark = docs.sparkSession
+    arrivals = materialise(digests(docs), "digests")
+    groups = arrivals.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    groups = materialise(groups, "copies")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    index = DigestIndex(spark, path or scratch_path(spark, "digest-index"), buckets)
+    index.append(groups)
+    known = materialise(groups.join(index.entries(), "digest", "left").select("digest", "keep_id", "n"), "known")
+    index.close()
+    discard(groups)
+    return join_counted(arrivals, known, ["digest"], total).select(
+        "doc_id", "keep_id", F.col("n").alias("group_size"),
+        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
+        F.col("digest").alias("text_sha256"),
+    )
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

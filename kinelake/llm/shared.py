@@ -1,10 +1,9 @@
-"""Scratch tables in the folder that the driver and all executors share."""
+"""Scratch tables in the folder that the driver and all executors share, and joins on keys of any frequency."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A key is hot with more than one in HOT_SHARE of all rows, so that there are fewer than HOT_SHARE hot keys.
+HOT_SHARE = 10_000
+#: Tables of up to so many short rows (a few MB) are broadcast whole.
+BROADCAST_ROWS = 200_000
 _own: dict[str, str] = {}
+_begun: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of its own where that is unset (tests)."""
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder in local mode (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-kinelake-")
@@ -27,9 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder for something that outlives the application."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, name: str):
+    """Hadoop's file system of a path, and the path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for an intermediate table; all of them are deleted when the application ends."""
+    root = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    if root not in _begun:
+        fs, path = file_system(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _begun.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -37,14 +61,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     the shuffle files of the finished job at once instead of at the driver's
     next garbage collection.
     """
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.option("compression", "lz4").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again."""
+    for t in tables:
+        fs, path = file_system(t.sparkSession, t._scratch)
+        fs.delete(path, True)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, a materialised table of one row a key and how many of ``total`` rows have it.
+
+    A key with a third of all rows would put them all in one task. Hot keys,
+    fewer than HOT_SHARE whatever the input, are broadcast instead, so the rows
+    of a hot key stay where they are; what goes through the shuffle has at most
+    one in HOT_SHARE of the rows a key. Both branches read ``rows``.
+    """
+    keyed = keyed.select(*keys, *(c for c in keyed.columns if c not in keys))
+    hot = F.col(n) > F.lit(max(total // HOT_SHARE, 1))
+    few = keyed.filter(hot)
+    joined = rows.join(F.broadcast(few), keys)  # fewer than HOT_SHARE rows
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(keyed.filter(~hot), keys)
+    return joined.unionByName(rest)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,17 +106,6 @@ def arrow_schema(schema: StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_arrow(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with one output batch for each input batch."""
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield per_batch(batch)
-
-    return df.mapInArrow(run, schema)
-
-
 def first_by_hash(df: DataFrame, most: int, *keys: str) -> DataFrame:
     """At most ``most`` rows, the first by a hash ``h`` of the table (then by ``keys``); fewer only if there are no more.
 
