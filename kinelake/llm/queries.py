@@ -16,4 +16,4 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_secret_scans": secrets.op10_secret_scans,
 }
-ORACLES = {"op3_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_mixing": mixing.ORACLE, "op7_sharding": sharding.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
