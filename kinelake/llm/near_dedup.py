@@ -1,17 +1,23 @@
 """MinHash near-dedup with an LSH forest.
 
 Every distinct set of word shingles has a MinHash signature. The forest is
-several sorted orders of the signatures, each starting at another place of
-them; documents with a common prefix of three values in an order are
-candidates. What shares a prefix is compared on full sets, exactly and all
-against all, and only a spanning set of links leaves the comparison, so neither
-copies nor near copies are ever written out as pairs.
-
-Sets of regions over MOST_BLOCKED distinct sets are joined by prefix filtering
-on their full sets instead: of two sets at 0.85, the rarest shingles of the one
-(15 % and one more) and of the other have one in common, in any order of all
-shingles. Sets that are linked to the hub of a region are compared no further
-among each other.
+several orders of the signatures, each starting at another place of them,
+range-partitioned and sorted; a set's candidates are the neighbours with the
+longest common prefix. How deep a prefix must be adapts to the region:
+
+* Where few sets share a value, neighbours that share one or two are
+  candidates already, if the low bits of their signatures agree.
+* Sets that share three values always are.
+* Regions of many sets are cut at deeper prefixes, into pieces of a bounded
+  size, first. What the cuts part meets again: all against all in pieces up to
+  MOST_BLOCKED sets, beyond that by prefix filtering on the full sets: of two
+  sets at 0.85, the rarest shingles of the one (15 % and one more) and of the
+  other have one in common, in any order of all shingles. Sets that are linked
+  already, by a piece or to a hub, are compared no further among each other.
+
+Candidates are compared on full sets, exactly, and only a spanning set of links
+leaves the comparison, so neither copies nor near copies are ever written out
+as pairs.
 
 Chance: two sets at 0.85 agree in three values with 0.61, so that all sixteen
 orders miss them has a chance below 1 in 4 million; that they agree in fewer
@@ -27,36 +33,63 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import arrow_schema, materialise, table
+from .shared import arrow_schema, discard, join_counted, materialise, table
 from .text import column, mix, shingle_sets, token_batches
 
 SHINGLE, PERCENT = 5, 85
 VALUES, ORDERS, DEPTH = 48, 16, 3
+#: Values of a sort key: the deepest prefix.
+KEY = 6
 #: The most sets, and shingles of them, that are compared in one piece.
 MOST_SETS, MOST_SHINGLES = 1024, 4_000_000
 #: Larger regions than this are compared by their rarest shingles, not all against all.
 MOST_BLOCKED = 8192
+#: Where at most so many sets share a prefix shorter than DEPTH, it makes candidates, if so many of the values' low bits agree.
+SPARSE, LEAST_BITS = 32, 38
+#: Rows of a sorted order that are looked at in one go.
+CHUNK_ROWS = 400_000
 #: Slots in which shingles of larger regions are counted, by their hash.
 SLOTS = 1 << 21
 #: Pairs that agree in fewer values aren't compared: at 0.85, six standard deviations below the mean.
 LEAST_EQUAL = 26
 #: Up to so many ids (a few MB) are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 300_000
+BROADCAST_IDS = 200_000
 _MASKS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = mix(np.arange(1001, VALUES + 1001, dtype=np.uint64)) | np.uint64(1)
 
-SKETCH = "doc_id long, n_shingles long, node long, sig array<int>"
-GROUP = "gid long, node long"
-SETS = "node long, shingles binary"
-LINKS = "a long, b long"
-TOKENS = "token long, node long, n_shingles long"
+SKETCH = "doc_id long, n_shingles long, node binary, sig array<int>"
+ORDERED = "order byte, key binary, node binary, n_shingles long, bits long"
+REGIONS = "bucket long, node binary, n_shingles long, n long, s long, piece long"
+GROUP = "gid long, node binary"
+SETS = "node binary, shingles binary"
+LINKS = "a binary, b binary"
+TOKENS = "token long, node binary, n_shingles long"
 
 
 def set_nodes(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit id for each set: a hash of all its shingles. 0 for an empty set."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x6A09E667F3BCC909)), dtype=np.uint64)])
-    n = np.diff(bounds)
-    return np.where(n > 0, mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)), np.uint64(0)).view(np.int64)
+    """A 128-bit id for each set, in two columns: two hashes of all its shingles. 0 for an empty set."""
+    n, out = np.diff(bounds), np.zeros((len(bounds) - 1, 2), np.uint64)
+    for k, salt in enumerate((0x6A09E667F3BCC909, 0xBB67AE8584CAA73B)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)])
+        out[:, k] = np.where(n > 0, mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)), np.uint64(0))
+    return out
+
+
+def as_ids(nodes: np.ndarray) -> pa.Array:
+    """Two columns of integers as 16-byte ids."""
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(nodes), [None, pa.py_buffer(np.ascontiguousarray(nodes).tobytes())])
+    return fixed.cast(pa.binary())
+
+
+def _fixed(array: pa.Array, kind, width: int) -> np.ndarray:
+    """Equally long binary values as a matrix of ``width`` columns."""
+    size = width * np.dtype(kind).itemsize
+    array = array.cast(pa.binary(size))
+    return np.frombuffer(array.buffers()[1], kind, width * len(array), size * array.offset).reshape(-1, width) if len(array) else np.zeros((0, width), kind)
+
+
+def of_ids(array: pa.Array) -> np.ndarray:
+    return _fixed(array, np.uint64, 2)
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -81,7 +114,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n, sig = np.diff(bounds), signatures(h, bounds)
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * VALUES), pa.array(sig.ravel()))
                 own = ids.slice(words.rows.start, len(n))
-                yield pa.RecordBatch.from_arrays([own, pa.array(n), pa.array(set_nodes(h, bounds)), sig.cast(schema.field("sig").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([own, pa.array(n), as_ids(set_nodes(h, bounds)), sig.cast(schema.field("sig").type)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
 
@@ -196,8 +229,7 @@ def _rarest(full: DataFrame) -> DataFrame:
             order = np.lexsort((h, often.value[_slot(h)], row))
             first = np.arange(len(h)) - bounds[row] < (n - -(-PERCENT * n // 100) + 1)[row]
             h, row = h[order][first], row[first]
-            node = b.column(0).to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(node), pa.array(n[row])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(n[row])], schema=schema)
 
     return full.select("node", "shingles").mapInArrow(run, TOKENS).distinct()
 
@@ -230,36 +262,144 @@ def _across(rows: DataFrame) -> DataFrame:
 
 
 def _large_regions(docs: DataFrame, sets: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) to hubs, and buckets (bucket, node) in which all other linked sets of large regions meet."""
+    """Links (a, b) within pieces and to hubs, and buckets (bucket, node) in which all other linked sets of large regions meet."""
     wanted = sets.select("doc_id", "node").join(rows.select("node").distinct(), "node")
     full = materialise(_full_sets(docs, wanted), "region-sets")
-    links = _around_hubs(rows, sets, full)
+    pieces = _groups(rows.select(F.col("piece").alias("bucket"), "node").distinct(), sets)
+    links = materialise(_links(pieces, full), "piece-links").unionByName(_around_hubs(rows, sets, full))
     classes = components(links)
     tokens = _rarest(full).join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     return links, _across(materialise(tokens.drop("component"), "rarest"))
 
 
-def _forest(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(bucket, node): sets that share a prefix in an order; and (order, bucket, node) of regions over MOST_BLOCKED, if any.
+def _orders(batches, schema: pa.Schema):
+    """A row for each set and order: the order's key, and the low bits of all values."""
+    for b in batches:
+        if b.num_rows:
+            sig = b.column(2).flatten().to_numpy().reshape(-1, VALUES)
+            padded = np.zeros((len(sig), 64), np.uint8)
+            padded[:, :VALUES] = sig & 1
+            bits = pa.array(np.packbits(padded, axis=1).view(np.int64).ravel())
+            for order in range(ORDERS):
+                key = np.roll(sig, -order * (VALUES // ORDERS), axis=1)[:, :KEY].astype(">i4")
+                own = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * KEY), len(key), [None, pa.py_buffer(key.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), order, np.int8)), own.cast(pa.binary()), b.column(0), b.column(1), bits], schema=schema)
+
+
+def _chunks(batches, rows: int):
+    """Consecutive rows of a task in tables of about ``rows``."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _too_large(n, s):
+    return (n > MOST_SETS) | (s > MOST_SHINGLES)
 
-    A bucket of up to MOST_BLOCKED sets is compared all against all, in pieces.
+
+def _cut(t: pa.Table, schema: pa.Schema):
+    """Regions of consecutive rows of a sorted order.
+
+    A region of DEPTH equal values lies inside the chunk, then it comes with
+    its size, or touches an end of it, then it has none yet: its other rows are
+    in the next chunk, under the same bucket. A region inside has the hash of
+    its members as its bucket, so that equal regions of several orders are one.
     """
-    start = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1)))
-    step = VALUES // ORDERS
-    prefix = F.xxhash64(F.col("order"), F.slice(F.concat("sig", "sig"), F.col("order") * step + 1, DEPTH))
-    keyed = sets.select("node", "n_shingles", start.alias("order"), "sig").select("order", prefix.alias("bucket"), "node", "n_shingles")
-    sizes = keyed.groupBy("order", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).filter("n > 1")
-    sizes = materialise(sizes, "buckets")
+    get = lambda name: t.column(name).combine_chunks() if t.column(name).num_chunks != 1 else t.column(name).chunk(0)
+    order, key, nodes, size = t.column("order").to_numpy(), _fixed(get("key"), np.uint32, KEY), of_ids(get("node")), t.column("n_shingles").to_numpy()
+    bits, ids, n = t.column("bits").to_numpy().view(np.uint64), get("node"), len(order)
+    equal = np.cumprod(key[1:] == key[:-1], axis=1).sum(1) * (order[1:] == order[:-1])
+    common = np.concatenate([[0], equal]).astype(np.int8)  # values shared with the row before
+
+    def runs(depth):
+        run = np.cumsum(common < depth) - 1
+        run -= run[0]
+        return run, np.bincount(run), np.bincount(run, size)
+
+    member = mix(nodes[:, 0] ^ np.uint64(0x3C6EF372FE94F82B))
+    run, count, weight = runs(DEPTH)
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    at_end = (run == 0) | (run == run[-1])
+    whole = ~_too_large(count, weight)[run]
+    content = mix(np.add.reduceat(member, first) + count.astype(np.uint64))[run]
+    prefix = order.astype(np.uint64)
+    for k in range(DEPTH):
+        prefix = mix(prefix * np.uint64(0xA54FF53A5F1D36F1) + key[:, k])
+    bucket = np.where(whole & ~at_end, content, prefix)
+    # Depth rises in large regions: the shallowest cut that is small enough; what even the deepest leaves too large is cut by position.
+    piece, open_ = np.where(whole, run, -1), ~whole
+    for depth in range(DEPTH + 1, KEY + 1):
+        deep, deep_count, deep_weight = runs(depth)
+        fits = open_ & ~_too_large(deep_count, deep_weight)[deep]
+        piece[fits] = (depth << 32) + deep[fits]
+        open_ &= ~fits
+    place = np.cumsum(size) // MOST_SHINGLES * (1 << 20) + np.arange(n) // MOST_SETS
+    piece[open_] = (1 << 48) + place[open_]
+    piece = mix(piece.astype(np.uint64) * np.uint64(0x510E527FADE682D1) ^ member[0])
+    own = (count[run] > 1) | at_end
+    known = ~at_end
+
+    def rows(pick, bucket, n_sets, total, known, piece):
+        column = lambda x: pa.array(x, pa.int64(), mask=None if known is None else ~known)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket.view(np.int64)), ids.take(pa.array(pick)), pa.array(size[pick]), column(n_sets), column(total), pa.array(piece.view(np.int64))], schema=schema
+        )
+
+    pick = np.flatnonzero(own)
+    if len(pick):
+        yield rows(pick, bucket[pick], count[run][pick], weight[run][pick].astype(np.int64), known[pick], piece[pick])
+    # Depth falls in sparse regions: neighbours by their longest common prefix.
+    sparse = [runs(d)[1][runs(d)[0]] <= SPARSE for d in range(1, DEPTH)]
+    longest, pairs = common.copy(), []
+    for k in range(1, SPARSE):
+        longest = np.minimum(longest[:-1], common[k:]) if k > 1 else common[1:]
+        i = np.flatnonzero((longest > 0) & (longest < DEPTH))
+        if not len(i) and not (longest > 0).any():
+            break
+        near = np.zeros(len(i), bool)
+        for d in range(1, DEPTH):
+            near |= (longest[i] >= d) & sparse[d - 1][i]
+        i = i[near]
+        pairs.append(np.stack([i, i + k], 1)[np.bitwise_count(bits[i] ^ bits[i + k]) <= VALUES - LEAST_BITS])
+    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    if len(pairs):
+        both = mix(member[pairs].sum(1, dtype=np.uint64) + np.uint64(2))
+        total = size[pairs].sum(1)
+        twice = lambda x: np.repeat(x, 2)
+        pick = pairs.ravel()
+        yield rows(pick, twice(both), np.full(len(pick), 2), twice(total), None, twice(both))
+
+
+def _forest(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, node) of candidates; and (order, bucket, node, piece) of regions over MOST_BLOCKED, if any."""
+    spark = sets.sparkSession
+    ordered, regions = (arrow_schema(spark.createDataFrame([], x).schema) for x in (ORDERED, REGIONS))
+    keyed = sets.select("node", "n_shingles", "sig").mapInArrow(lambda batches: _orders(batches, ordered), ORDERED)
+    keyed = keyed.repartitionByRange("order", "key", "node").sortWithinPartitions("order", "key", "node")
+    rows = materialise(keyed.mapInArrow(lambda batches: (r for t in _chunks(batches, CHUNK_ROWS) for r in _cut(t, regions)), REGIONS), "regions")
+    # Regions that touch an end of a chunk: their sizes come from all their rows.
+    at_end = rows.filter("n IS NULL").drop("n", "s")
+    sizes = at_end.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).filter("n > 1")
+    sizes = materialise(sizes, "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = rows.filter("n IS NOT NULL").unionByName(join_counted(at_end, sizes, ["bucket"], total))
     fits = (F.col("n") <= MOST_SETS) & (F.col("s") <= MOST_SHINGLES)
     blocks = ~fits & (F.col("n") <= MOST_BLOCKED) & (F.col("s") <= MOST_SHINGLES * (MOST_BLOCKED // MOST_SETS))
-    rows = lambda some: keyed.join(sizes.filter(some), ["order", "bucket"])
-    out = rows(fits).select("bucket", "node")
-    if not sizes.filter(blocks).isEmpty():
-        out = out.unionByName(_blocked(rows(blocks)))
-    large = ~fits & ~blocks
-    if sizes.filter(large).isEmpty():
+    out = rows.filter(fits).select("bucket", "node").distinct()
+    larger = materialise(rows.filter(~fits), "larger")
+    if larger.isEmpty():
+        return out, None
+    out = out.unionByName(_blocked(larger.filter(blocks)))
+    large = larger.filter(~blocks)
+    if large.isEmpty():
         return out, None
-    return out, materialise(rows(large).select("order", "bucket", "node"), "large")
+    return out, large.select(F.lit(0).alias("order"), "bucket", "node", "piece")
 
 
 def _spread(links: np.ndarray) -> np.ndarray:
@@ -278,7 +418,8 @@ def _candidates(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     gid, node = [], []
     for members in batch.column(0):
         values = members.values
-        nodes = values.field("node").to_numpy()
+        ids = values.field("node")
+        nodes = of_ids(ids)
         sig = values.field("sig").values.to_numpy()
         offset = values.field("sig").offsets.to_numpy()[0]
         sig = sig[offset : offset + len(nodes) * VALUES].reshape(-1, VALUES)
@@ -287,11 +428,31 @@ def _candidates(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
             equal += sig[:, k][:, None] == sig[:, k]
         label = _spread(equal >= LEAST_EQUAL)
         for one in np.flatnonzero(np.bincount(label, minlength=len(nodes)) > 1):
-            own = np.sort(nodes[label == one])
-            key = mix(np.array([mix(own.view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(own))]))[0]
-            gid.append(np.full(len(own), np.int64(np.uint64(key).astype(np.int64)))), node.append(own)
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(join(gid)), pa.array(join(node))], schema=schema)
+            own = np.flatnonzero(label == one)
+            key = mix(np.array([mix(nodes[own]).sum(dtype=np.uint64) + np.uint64(len(own))]))
+            gid.append(np.repeat(key.view(np.int64), len(own))), node.append(ids.take(pa.array(own)))
+    if not gid:
+        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(gid)), pa.concat_arrays(node)], schema=schema)
+
+
+def _groups(meet: DataFrame, sets: DataFrame) -> DataFrame:
+    """(gid, node) of the candidates in each bucket of (bucket, node) rows."""
+    members = meet.join(sets.select("node", "sig"), "node")
+    buckets = members.groupBy("bucket").agg(F.collect_list(F.struct("node", "sig")).alias("members")).select("members")
+    schema = arrow_schema(meet.sparkSession.createDataFrame([], GROUP).schema)
+    groups = buckets.mapInArrow(lambda batches: (_candidates(b, schema) for b in batches if b.num_rows), GROUP)
+    return materialise(groups.distinct(), "groups")
+
+
+def _links(groups: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b): links within each group, from full sets."""
+    spark = groups.sparkSession
+    schema = arrow_schema(spark.createDataFrame([], LINKS).schema)
+    rows = groups.join(full, "node").select("gid", "node", "shingles")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "gid").sortWithinPartitions("gid", "node")
+    return rows.mapInArrow(lambda batches: _verify(batches, schema), LINKS)
 
 
 def linked(sets: list[np.ndarray]) -> np.ndarray:
@@ -326,9 +487,9 @@ def _verify(batches, schema: pa.Schema):
 
     def close():
         label = _spread(linked(sets))
-        own = np.array(nodes, np.int64)
         at = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(own[label[at]])], schema=schema)
+        ids = pa.array(nodes, pa.binary())
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(at)), ids.take(pa.array(label[at]))], schema=schema)
 
     for b in batches:
         for g, node, s in zip(*(b.column(i) for i in range(3))):
@@ -350,14 +511,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            asked = b.column(b.schema.get_field_index("node")).to_numpy()
+            asked = of_ids(b.column(b.schema.get_field_index("node")))
             for words in token_batches(column(b, "text"), lower=True):
                 h, bounds = shingle_sets(words, SHINGLE)
                 nodes = set_nodes(h, bounds)
                 # Rows may share a doc_id without sharing a text.
-                own = np.flatnonzero(nodes == asked[words.rows])
+                own = np.flatnonzero((nodes == asked[words.rows]).all(1))
                 found = [h[bounds[i] : bounds[i + 1]].tobytes() for i in own]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(found, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([as_ids(nodes[own]), pa.array(found, pa.binary())], schema=schema)
 
     wanted = materialise(wanted.select("doc_id", "node"), "wanted")
     if wanted.count() <= BROADCAST_IDS:
@@ -366,46 +527,44 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select("node", "text").mapInArrow(run, SETS)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) runs of bytes other than ASCII white space; a
     text of one to four words is one shingle; a null or empty one has none and
-    is linked to nothing. Equal sets are one node, so copies cost a group-by.
-    Rows that repeat a doc_id count as one document of several texts, and are
-    kept or dropped together; without a doc_id a row is a node, but never kept.
+    is linked to nothing. Equal sets are one node, with the smallest id of its
+    rows, so copies cost a group-by and one join back, in which a set that a
+    large share of all rows has is no task of its own. Rows are judged by
+    their own text: rows that repeat an id with several texts may lie in
+    several components. A row without an id is kept never, and has the
+    component of the rows with an id that have its set, if there are any.
     """
-    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), "text")
     sketches = materialise(sketch(docs), "sketches")
     nodes = sketches.filter("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n")
     )
-    nodes = materialise(nodes.filter("doc_id IS NOT NULL"), "nodes")
+    every = materialise(nodes, "nodes")
+    nodes = every.filter("doc_id IS NOT NULL")
     meet, large = _forest(nodes)
     if large is not None:
-        hub_links, more = _large_regions(docs, nodes, large)
+        found_before, more = _large_regions(docs, nodes, large)
         meet = meet.unionByName(more)
-    members = meet.join(nodes.select("node", "sig"), "node")
-    buckets = members.groupBy("bucket").agg(F.collect_list(F.struct("node", "sig")).alias("members")).select("members")
-    group_schema = arrow_schema(spark.createDataFrame([], GROUP).schema)
-    groups = buckets.mapInArrow(lambda batches: (_candidates(b, group_schema) for b in batches if b.num_rows), GROUP)
-    groups = materialise(groups.distinct(), "groups")
+    groups = _groups(meet, nodes)
     wanted = nodes.select("doc_id", "node").join(groups.select("node").distinct(), "node")
-    full = _full_sets(docs, wanted)
-    link_schema = arrow_schema(spark.createDataFrame([], LINKS).schema)
-    rows = groups.join(full, "node").select("gid", "node", "shingles")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "gid").sortWithinPartitions("gid", "node")
-    found = rows.mapInArrow(lambda batches: _verify(batches, link_schema), LINKS)
-    found = materialise(found if large is None else found.unionByName(hub_links), "links")
-    # Nodes and the documents that have them, by smallest doc_id.
+    found = _links(groups, _full_sets(docs, wanted))
+    found = materialise(found if large is None else found.unionByName(found_before), "links")
     first = nodes.select("node", "doc_id")
     links = found.join(first.toDF("a", "u"), "a").join(first.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    own = sketches.filter("doc_id IS NOT NULL").join(first.toDF("node", "v"), "node").filter("doc_id <> v")
-    grouped = components(links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("v").alias("b"))))
-    out = sketches.select("doc_id", "n_shingles").join(grouped, F.col("doc_id") == F.col("node"), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    grouped = components(links).toDF("doc_id", "component")
+    known = every.select("node", "doc_id", "n").join(grouped, "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component"), "n")
+    known = materialise(known, "components")
+    discard(found, groups, every)
+    rows = sketches.select("doc_id", "n_shingles", "node")
+    out = join_counted(rows.filter("n_shingles > 0"), known, ["node"], known.agg(F.sum("n")).first()[0] or 0)
+    out = out.select("doc_id", "n_shingles", "component").unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

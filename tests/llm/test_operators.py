@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +240,36 @@ def test_near_dedup_in_a_crowded_region(spark, monkeypatch, blocked):
     assert got == brute_components({i: shingles(t) for i, t in rows})
 
 
+@pytest.mark.parametrize("chunk", [7, 50, 1000])
+def test_sorted_orders_join_all_with_a_common_prefix(monkeypatch, chunk):
+    """In chunks of any size: who shares DEPTH values shares a bucket, sizes are right, pieces are small, and shallow neighbours are pairs."""
+    monkeypatch.setattr(near_dedup, "MOST_SETS", 12)
+    rng, nd = np.random.default_rng(4), near_dedup
+    n = 400
+    keys = rng.integers(0, 3, (n, nd.KEY)) * (rng.random((n, nd.KEY)) < 0.8)
+    keys[300:] = rng.integers(0, 10**6, (100, nd.KEY))
+    keys[300:320, :2] = keys[320:340, :2]  # sparse neighbours at depth 2
+    rows = sorted((i % 2, tuple(map(int, k)), i) for i, k in enumerate(keys))
+    order, keys, ids = [r[0] for r in rows], np.array([r[1] for r in rows]), np.array([[r[2] + 1, 7] for r in rows], np.uint64)
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * nd.KEY), n, [None, pa.py_buffer(keys.astype(">i4").tobytes())]).cast(pa.binary())
+    t = pa.table({"order": pa.array(order, pa.int8()), "key": fixed, "node": nd.as_ids(ids), "n_shingles": pa.array(np.full(n, 10)), "bits": pa.array(np.zeros(n, np.int64))})
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.binary()), ("n_shingles", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("piece", pa.int64())])
+    out = [r for k in range(0, n, chunk) for b in nd._cut(t.slice(k, chunk).combine_chunks(), schema) for r in b.to_pylist()]
+    at = {nd.as_ids(ids[i : i + 1])[0].as_py(): i for i in range(n)}
+    shared, pieces = defaultdict(set), Counter(r["piece"] for r in out)
+    for r in out:
+        shared[r["bucket"]].add(at[r["node"]])
+    meet = {frozenset((a, b)) for own in shared.values() for a in own for b in own if a < b}
+    common = lambda a, b: next((d for d in range(nd.KEY) if keys[a][d] != keys[b][d]), nd.KEY) if order[a] == order[b] else 0
+    deep = {frozenset((a, b)) for a in range(n) for b in range(a) if common(a, b) >= nd.DEPTH}
+    assert deep <= meet and all(common(*p) > 0 for p in meet)
+    region = Counter((order[i], *keys[i][: nd.DEPTH]) for i in range(n))
+    assert all(r["n"] in (None, 2) or r["n"] == region[(order[at[r["node"]]], *keys[at[r["node"]]][: nd.DEPTH])] for r in out)
+    assert max(pieces.values()) <= 12
+    if chunk == 1000:
+        assert sum(common(*p) == 2 for p in meet) >= 15
+
+
 def test_near_dedup_in_large_regions_without_a_hub(spark, monkeypatch):
     """Two templates whose texts are at 0.844 to each other and to any hub; planted pairs are at 0.856."""
     monkeypatch.setattr(near_dedup, "MOST_SETS", 16)
