@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.llm import components, decontaminate, exact_dedup, langid, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity
+from kinelake.llm import calibration, components, decontaminate, exact_dedup, langid, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity
 from kinelake.llm.shared import first_by_hash, join_counted, materialise, new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -425,7 +425,7 @@ def test_toxicity_learns_and_scores_every_text(spark, docs, empty):
 @pytest.mark.parametrize("gap", [0.01, 1.0, 50.0, 5000.0])
 def test_calibration_keeps_the_order_of_separable_logits(gap):
     z = np.concatenate([np.full(900, -gap), np.full(90, -gap) + 1e-3 * gap * np.arange(90), np.linspace(gap, 3 * gap, 110)])
-    a, b = toxicity.calibrate(z, (np.arange(1100) >= 990).astype(float))
+    a, b = calibration.calibrate(z, (np.arange(1100) >= 990).astype(float))
     p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
     assert a > 0 and p[:990].max() < 0.3 and p[990:].min() > 0.7
 
@@ -508,12 +508,48 @@ def test_secret_spans_match_the_rules(spark, docs, empty):
     assert secrets.find_secrets(docs).count() == len(corpus()) and secrets.find_secrets(empty).count() == 0
 
 
-def test_character_network_separates_keys_from_words():
-    rng = np.random.default_rng(2)
-    alphabet = {0: b"etaoinshrdlu", 1: b"0123456789abcdefXYZQJK"}
-    x = np.zeros((600, secrets.WINDOW), np.uint8)
-    y = np.arange(600) % 2
-    for i in range(600):
-        x[i, secrets.BEFORE : secrets.BEFORE + 24] = rng.choice(np.frombuffer(alphabet[y[i]], np.uint8), 24)
-    net = secrets.CharNetwork().fit(x[:400], y[:400])
-    assert ((net.score(x[400:]) >= 0.5) == y[400:]).mean() > 0.97
+def test_network_adds_keys_that_no_rule_knows(spark):
+    """Keys without a keyword, and in the midst of long runs, are added; hosts, paths, identifiers and numbers are not; base spans stay."""
+    rng, letters = random.Random(21), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    word = lambda: "".join(rng.choice(["ba", "re", "to", "ni", "lu", "ker", "sal", "mo"]) for _ in range(rng.randint(2, 5)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    plain = lambda: rng.choice([
+        f"www.{word()}.{word()}.com/{word()}/{rng.randint(1, 999)}", f"{rng.randint(0, 255)}.{rng.randint(100, 255)}.{rng.randint(100, 255)}.{rng.randint(0, 255)}",
+        f"{word()}_{word()}_{word()}{rng.randint(1, 99)}", f"20{rng.randint(10, 30)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}.{word()}", f"{word()}-{word()}-{word()}-{word()}",
+    ])
+    rows, planted, clean = [], {}, {}
+    for i in range(700):
+        a, b = prose(rng.randint(3, 12)), prose(rng.randint(3, 12))
+        if i < 250:
+            text = f"{a} {rng.choice(['password', 'token', 'API_KEY', 'secret'])}{rng.choice([' = ', ': ', '='])}{key(rng.randint(20, 40))} {b}"
+        elif i < 450:
+            text = f"{a} {plain()} {b}"
+        elif i < 600:
+            own = key(rng.randint(24, 48))
+            text, planted[i] = f"{a} {own} {b}", (len(a) + 1, len(a) + 1 + len(own))
+        else:
+            own = plain()
+            text, clean[i] = f"{a} {own} {b}", own
+        rows.append((i, text))
+    own = f"{word()}/" * 30 + key(64) + f"/{word()}" * 30
+    rows.append((700, f"x {own} y"))
+    planted[700] = (2, 2 + len(own))
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    caught = [i for i, (a, b) in planted.items() if f"cnn:{a}:{b}" in got[i].spans.split(",")]
+    assert len(caught) >= 0.95 * len(planted) and 700 in caught
+    assert sum(got[i].n_cnn for i in clean) <= 0.03 * len(clean)
+    assert sum(r.n_cnn for r in got.values()) >= len(caught)
+    for i, text in rows:
+        said = [f"{BASE[k][0]}:{m.start()}:{m.end()}" for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(text) if ok(m)]
+        assert set(said) <= set(got[i].spans.split(","))
+
+
+def test_few_findings_are_enough_to_score(spark):
+    """No number of findings switches the network off; only none at all leaves nothing to learn from."""
+    rows = [(i, f"words and more words {i} token = {hashlib.sha256(str(i).encode()).hexdigest()[:30]}Z{i}Q") for i in range(3)]
+    rows += [(10 + i, f"plain words host{i}.example.com and 10.20.30.{i}") for i in range(6)]
+    found = spark.createDataFrame(rows, "doc_id long, text string")
+    schema = secrets.arrow_schema(spark.createDataFrame([], secrets.FOUND).schema)
+    fits = lambda df: secrets.fit_network(df.mapInArrow(lambda bs: (secrets._find(b, schema) for b in bs if b.num_rows), secrets.FOUND))
+    assert fits(found) is not None and fits(found.filter("doc_id >= 10")) is None
