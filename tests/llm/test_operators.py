@@ -1,9 +1,11 @@
 """The ten operators against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -481,9 +483,38 @@ def test_forward_sums_all_segmentations():
         return np.ones(2) if not s else sum((table[p] * total(s[len(p) :]) for p in pieces if s.startswith(p)), np.zeros(2))
 
     data = np.frombuffer(b"ababbab", np.uint8)
-    a, b, first, word = langid._cut(np.array([0, 4]), np.array([4, 7]))
-    got = langid.word_scores(model, model.scaled(), data, a, b, first)
-    assert np.allclose(got, np.log([total(b"\x01abab"), total(b"\x01bab")])) and list(word) == [0, 1]
+    got = langid.word_scores(model, model.scaled(), data, np.array([0, 4]), np.array([4, 7]))
+    assert np.allclose(got, np.log([total(b"\x01abab"), total(b"\x01bab")]))
+    # A word of 200 bytes, whole: sums by place, in exact fractions.
+    word = bytes(random.Random(3).choice(b"ab") for _ in range(200))
+    sums = [[Fraction(1)] * 2]
+    for i in range(1, 202):
+        sums.append([sum(sums[i - len(p)][k] * Fraction(float(table[p][k])) for p in pieces if (b"\x01" + word)[:i].endswith(p)) for k in range(2)])
+    want = [math.log(x.numerator) - math.log(x.denominator) for x in sums[-1]]
+    assert np.allclose(langid.word_scores(model, model.scaled(), np.frombuffer(word, np.uint8), np.array([0]), np.array([200]))[0], want)
+
+
+def test_predictions_follow_brute_force(spark):
+    """Each text's language is the one with the largest product of its words' marginal likelihoods."""
+    rng = random.Random(5)
+    word = {lang: [f"{a}{b}{c}" for a in s for b in s for c in s] for lang, s in (("xx", ["ba", "lo", "ki"]), ("yy", ["ba", "ru", "se"]))}
+    rows = [(i, " ".join(rng.choice(word[lang]) for _ in range(rng.randint(1, 6))), lang) for i in range(120) for lang in ["xx" if i % 2 else "yy"]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = langid.load_pieces()
+    model = langid.train(langid.sample_words(df), pieces)
+    prob, own = dict(zip(model.hashes.tolist(), model.probs)), set(pieces)
+
+    def likelihood(w):
+        s, sums = b"\x01" + w.encode(), [np.ones(2)]
+        for i in range(1, len(s) + 1):
+            sums.append(sum((sums[k] * prob[int(langid._hash_pieces([s[k:i]])[0])] for k in range(i) if s[k:i] in own), np.zeros(2)))
+        return np.log(sums[-1])
+
+    known = {w: likelihood(w) for _, t, _ in rows for w in t.split()}
+    for r in langid.identify(df, df, F.lit(False)).collect():
+        score = sum(known[w] for w in rows[r.doc_id][1].split())
+        assert r.lang_pred == ["xx", "yy"][int(score.argmax())] and r.score == pytest.approx(1 / np.exp(score - score.max()).sum())
+    assert max(map(len, pieces)) > 16
 
 
 BASE = (
