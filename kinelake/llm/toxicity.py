@@ -1,8 +1,10 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings.
 
-Every word has the sum of hashed embeddings of the word and of its first bytes. Filters of several widths run over them, each filter keeps its maximum
-over the whole text, and a logistic layer turns the maxima into a score. The
-embeddings start from log-odds of the training labels and are trained with the
+Every word has the sum of hashed embeddings of the word and of its first
+bytes. Filters of several widths run over them. Each filter keeps its maximum
+in each of PARTS equal parts of the whole text, and of these maxima the KEPT
+largest, so that a word that many texts have once tells less than several in
+one; a logistic layer turns them into a score. The embeddings start from log-odds of the training labels and are trained with the
 rest in numpy, on a bounded sample of labelled rows. Labels held back from the
 fit calibrate the score and a decision threshold for each language.
 """
@@ -22,6 +24,7 @@ from .text import PUNCTUATION, column, token_batches
 
 BUCKETS, DIM = 1 << 18, 4
 WIDTHS, FILTERS = (1, 2, 3), 4
+PARTS, KEPT = 8, 3
 #: Each word also has an embedding of its first 4 and of its first 5 bytes, which its inflected forms share.
 PREFIXES = (4, 5)
 TABLES = 1 + len(PREFIXES)
@@ -48,7 +51,7 @@ class TextNetwork:
                 w = rng.normal(0, 0.3, (k, DIM, FILTERS)).astype(np.float32)
                 w[:, 0, :2] = 1.0 / k  # two filters of each width begin as a mean of the log-odds
                 self.p |= {f"w{k}": w, f"b{k}": np.zeros(FILTERS, np.float32)}
-            self.p |= {"o": np.full(len(WIDTHS) * FILTERS, 0.1, np.float32), "c": np.zeros(1, np.float32)}
+            self.p |= {"o": np.full(len(WIDTHS) * FILTERS * KEPT, 0.1, np.float32), "c": np.zeros(1, np.float32)}
 
     def embedded(self, rows: np.ndarray) -> np.ndarray:
         x = self.tables[0][rows[..., 0]]
@@ -56,42 +59,43 @@ class TextNetwork:
             x += self.tables[t][rows[..., t]]
         return x
 
-    def pooled(self, rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Maxima by document and filter, and the words they begin at. A text shorter than a filter is padded with zeros."""
+    def pooled(self, rows: np.ndarray, bounds: np.ndarray, places: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Largest maxima of the parts by document, width, rank and filter; with ``places`` also the words they begin at.
+
+        A part without words has maximum 0, as every filter has at least. A
+        text shorter than a filter is padded with zeros.
+        """
         n, out, where = len(bounds) - 1, [], []
-        x = self.embedded(rows)
-        doc = np.repeat(np.arange(n), np.diff(bounds))
-        full = np.flatnonzero(np.diff(bounds) > 0)
+        size = np.diff(bounds)
+        cuts = (bounds[:-1, None] + size[:, None] * np.arange(PARTS) // PARTS).ravel()
+        full = np.flatnonzero(np.diff(np.append(cuts, bounds[-1])) > 0)
+        part = np.repeat(full, np.diff(np.append(cuts[full], bounds[-1]))) if len(full) else full
+        x, doc = self.embedded(rows), np.repeat(np.arange(n), size)
         for k in WIDTHS:
             y = x @ self.p[f"w{k}"][0] + self.p[f"b{k}"]
             for j in range(1, k):
-                more = x[j:] @ self.p[f"w{k}"][j]
-                inside = (doc[j:] == doc[:-j])[:, None]
-                y[:-j] += more * inside
-            best, at = np.zeros((n, FILTERS), np.float32), np.zeros((n, FILTERS), np.int64)
+                y[:-j] += (x[j:] @ self.p[f"w{k}"][j]) * (doc[j:] == doc[:-j])[:, None]
+            best = np.zeros((n * PARTS, FILTERS), np.float32)
             if len(full):
-                best[full] = np.maximum.reduceat(y, bounds[:-1][full])
+                best[full] = np.maximum.reduceat(y, cuts[full])
+            if places:
+                at = np.repeat(np.minimum(cuts, max(len(rows) - 1, 0))[:, None], FILTERS, 1)
                 for f in range(FILTERS):
-                    hit = np.flatnonzero(y[:, f] == np.repeat(best[:, f], np.diff(bounds)))
-                    at[doc[hit[::-1]], f] = hit[::-1]
-            out.append(np.maximum(best, 0)), where.append(at)
+                    hit = np.flatnonzero(y[:, f] == best[part, f])[::-1]
+                    at[part[hit], f] = hit
+                at = at.reshape(n, PARTS, FILTERS)
+            best = np.maximum(best, 0).reshape(n, PARTS, FILTERS)
+            if places:
+                order = np.argsort(-best, axis=1, kind="stable")[:, :KEPT]
+                best = np.take_along_axis(best, order, 1)
+                where.append(np.take_along_axis(at, order, 1).reshape(n, -1))
+            else:
+                best = -np.sort(-best, axis=1)[:, :KEPT]
+            out.append(best.reshape(n, -1))
         return np.concatenate(out, 1), where
 
     def logits(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        n = len(bounds) - 1
-        x = self.embedded(rows)
-        full = np.flatnonzero(np.diff(bounds) > 0)
-        z = np.full(n, self.p["c"][0], np.float32)
-        if not len(full):
-            return z
-        doc = np.repeat(np.arange(n), np.diff(bounds))
-        for i, k in enumerate(WIDTHS):
-            y = x @ self.p[f"w{k}"][0] + self.p[f"b{k}"]
-            for j in range(1, k):
-                y[:-j] += (x[j:] @ self.p[f"w{k}"][j]) * (doc[j:] == doc[:-j])[:, None]
-            best = np.maximum(np.maximum.reduceat(y, bounds[:-1][full]), 0)
-            z[full] += best @ self.p["o"][i * FILTERS : (i + 1) * FILTERS]
-        return z
+        return self.pooled(rows, bounds)[0] @ self.p["o"] + self.p["c"]
 
     def start(self, docs: list[np.ndarray], y: np.ndarray) -> None:
         """Log-odds of a row occurring in documents of label 1, shrunk to 0 where few have it, as the first dimension; small noise in the others.
@@ -111,7 +115,7 @@ class TextNetwork:
             self.tables[t, known, 0] = np.clip(odds[known], -4, 4) / 2
             self.tables[t, known, 1:] = rng.normal(0, 0.05, (int(known.sum()), DIM - 1))
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 10, rate: float = 0.03) -> None:
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, epochs: int = 6, rate: float = 0.03) -> None:
         rng = np.random.default_rng(29)
         weight = np.where(y == 1, len(y) / (2 * max((y == 1).sum(), 1)), len(y) / (2 * max((y == 0).sum(), 1)))
         m, v, t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
@@ -120,21 +124,21 @@ class TextNetwork:
             for batch in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // 64)):
                 rows = np.concatenate([docs[i] for i in batch])
                 bounds = np.concatenate([[0], np.cumsum([len(docs[i]) for i in batch])])
-                h, where = self.pooled(rows, bounds)
+                h, where = self.pooled(rows, bounds, True)
                 z = h @ self.p["o"] + self.p["c"]
                 dz = ((1 / (1 + np.exp(-z)) - y[batch]) * weight[batch] / len(batch)).astype(np.float32)
                 g = {"o": h.T @ dz, "c": dz.sum(keepdims=True)}
                 dh = dz[:, None] * self.p["o"] * (h > 0)
                 for i, k in enumerate(WIDTHS):
-                    d = dh[:, i * FILTERS : (i + 1) * FILTERS]
-                    g[f"b{k}"], g[f"w{k}"] = d.sum(0), np.zeros_like(self.p[f"w{k}"])
+                    d = dh[:, i * FILTERS * KEPT : (i + 1) * FILTERS * KEPT]
+                    g[f"b{k}"], g[f"w{k}"] = d.reshape(-1, FILTERS).sum(0), np.zeros_like(self.p[f"w{k}"])
                     for j in range(k):
                         at = where[i] + j
                         ok = (at < bounds[1:, None]) & (np.diff(bounds) > 0)[:, None]
                         at = np.minimum(at, max(len(rows) - 1, 0))
                         x = self.embedded(rows[at]) * ok[:, :, None]
-                        g[f"w{k}"][j] = np.einsum("bf,bfd->df", d, x)
-                        back = (d * ok)[:, :, None] * self.p[f"w{k}"][j].T
+                        g[f"w{k}"][j] = np.einsum("bkf,bkfd->df", d.reshape(-1, KEPT, FILTERS), x.reshape(len(d), KEPT, FILTERS, DIM))
+                        back = (d * ok)[:, :, None] * np.tile(self.p[f"w{k}"][j].T, (KEPT, 1))
                         for s in range(TABLES):
                             own = rows[at, s].ravel()
                             flat = back.reshape(-1, DIM)
@@ -165,12 +169,11 @@ class Scorer:
         return np.concatenate(out).astype(float) if out else np.zeros(0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_words: int = 50_000) -> list:
+def sample(docs: DataFrame, labels: DataFrame, most: int = 3000) -> list:
     """(label, lang, hashed words) of at most ``most`` documents of label 1 and twice as many of label 0, first by a hash of doc_id.
 
-    Documents over ``most_words`` words teach nothing; they are scored like
-    all others. A document with two labels, or rows that repeat, counts once,
-    with its highest label.
+    They come whole, as 12 bytes a word. A document with two labels, or rows
+    that repeat, counts once, with its highest label.
     """
     labels = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = docs.select("doc_id").distinct().join(labels, "doc_id").withColumn("h", F.xxhash64("doc_id", F.lit(1)))
@@ -184,10 +187,9 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = 3000, most_words: int
             for words in token_batches(column(batch, "text"), lower=True, space=PUNCTUATION):
                 own = hashed(words)
                 for d in range(len(words.bounds) - 1):
-                    if words.counts[d] <= most_words:
-                        for n in ("doc_id", "toxic", "lang"):
-                            found[n].append(batch.column(batch.schema.get_field_index(n))[at].as_py())
-                        found["words"].append(own[words.bounds[d] : words.bounds[d + 1]].tobytes())
+                    for n in ("doc_id", "toxic", "lang"):
+                        found[n].append(batch.column(batch.schema.get_field_index(n))[at].as_py())
+                    found["words"].append(own[words.bounds[d] : words.bounds[d + 1]].tobytes())
                     at += 1
             yield pa.RecordBatch.from_arrays([pa.array(found["doc_id"], pa.int64()), pa.array(found["toxic"], pa.int32()), pa.array(found["lang"], pa.string()), pa.array(found["words"], pa.binary())], names=list(found))
 
