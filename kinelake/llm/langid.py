@@ -198,7 +198,7 @@ def train(words: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int
     return model
 
 
-def sample_words(docs: DataFrame, most_docs: int = 500) -> list[tuple[str, bytes, int]]:
+def sample_words(docs: DataFrame, most_docs: int = 200) -> list[tuple[str, bytes, int]]:
     """(lang, word, count): all words of a bounded sample of each language's documents.
 
     About ``most_docs`` documents of each language, drawn by a hash of doc_id
