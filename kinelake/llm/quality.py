@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 from .shared import arrow_schema, first_by_hash, materialise, table
 from .text import Words, column, token_batches, tokenize
 
-LABELLERS = ("symbols", "repetition", "capitals", "length", "sentences", "separators", "variety")
+LABELLERS = ("symbols", "repetition", "capitals", "length", "sentences", "separators", "variety", "letters", "wordless")
 BUCKETS = 1 << 18
-#: At most this share of a labeller's votes on good texts is bad: the heuristics are chosen to be seldom wrong so.
-MOST_WRONG = 0.004
+#: What labellers start from, as wrong about 1 in 100 good texts and as finding a third of the bad ones, counts as much as so many votes.
+START, START_VOTES = (0.35, 0.01), 20
 VOTES = "doc_id long, " + ", ".join(f"{n} byte" for n in LABELLERS)
 RESULT = "doc_id long, score double, kept boolean"
 
 _ASCII = [chr(b) if b < 128 else "a" for b in range(256)]
 _LETTER = np.array([c.isalpha() for c in _ASCII])
+_NUMBER = np.array([c.isdigit() for c in _ASCII])
 _UPPER = np.array([c.isupper() for c in _ASCII])
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*~^<>{}[]\\_=+!@", np.uint8))
 _END = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
@@ -80,6 +81,8 @@ def votes(words: Words) -> np.ndarray:
         distinct = np.bincount(d, new, len(n))
     variety = distinct / least
     some = n >= 20
+    share = letters / size
+    wordless = _per_doc(words, _spread(words, _LETTER | _NUMBER) == 0) / least
     return np.stack([
         _vote(symbols < 0.01, symbols > 0.04),
         _vote((repeats < 0.03) & some, repeats > 0.1),
@@ -88,30 +91,32 @@ def votes(words: Words) -> np.ndarray:
         _vote((sentences > 0.02) & (sentences < 0.3), (sentences < 0.002) & some),
         _vote((bars < 0.01) & some, bars > 0.1),
         _vote((variety > 0.35) & some, (variety < 0.15) & (n < 2000) & some),
+        _vote(share > 0.93, share < 0.88),
+        _vote(wordless < 0.02, wordless > 0.1),
     ], 1)
 
 
-def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def em(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[np.ndarray, np.ndarray, float]:
     """Posterior of good for each vote pattern, rates of bad votes, and the share of good.
 
     ``rates[c, j]`` is how many of labeller j's votes on texts of class c (bad,
     good) are bad: its accuracy for each class apart, as a labeller that knows
     one defect calls all other bad texts good. Votes are independent given
-    the class, and no vote says nothing. Labellers start as wrong about 1 in
-    100 good texts and as finding a third of the bad ones, which counts as
-    much as votes on a twentieth of the rows.
+    the class, and no vote says nothing. Nothing bounds the rates: the start,
+    which says which class is which, weighs START_VOTES votes, whatever the
+    number of rows. Rounds end when the posteriors stay as they are.
     """
-    start = np.array([0.35, 0.01])
-    rates = np.repeat(start[:, None], patterns.shape[1], 1)
-    share, total = 0.8, max(counts.sum(), 1)
+    start, floor = np.array(START), 1e-9
+    rates, share, post = np.repeat(start[:, None], patterns.shape[1], 1), 0.8, np.zeros(len(counts))
     for _ in range(rounds):
-        bad, good = (np.where(patterns == -1, np.log(r), np.where(patterns == 1, np.log(1 - r), 0)).sum(1) for r in rates)
-        post = 1 / (1 + np.exp(np.clip(bad - good + np.log(1 - share) - np.log(share), -50, 50)))
-        share = float(np.clip((counts * post).sum() / total, 0.02, 0.98))
+        bad, good = (np.where(patterns == -1, np.log(r), np.where(patterns == 1, np.log1p(-r), 0)).sum(1) for r in rates)
+        before, post = post, 1 / (1 + np.exp(np.clip(bad - good + np.log1p(-share) - np.log(share), -50, 50)))
+        share = float(np.clip(((counts * post).sum() + 0.8) / (counts.sum() + 1), floor, 1 - floor))
         for c, weight in ((0, counts * (1 - post)), (1, counts * post)):
-            prior = 0.05 * total
             said = [(weight[:, None] * (patterns == v)).sum(0) for v in (-1, 1)]
-            rates[c] = np.clip((said[0] + start[c] * prior) / (said[0] + said[1] + prior), 1e-4, MOST_WRONG if c else 1 - 1e-4)
+            rates[c] = np.clip((said[0] + start[c] * START_VOTES) / (said[0] + said[1] + START_VOTES), floor, 1 - floor)
+        if len(post) and np.abs(post - before).max() < 1e-9:
+            break
     return post, rates, share
 
 
@@ -174,7 +179,7 @@ class LinearScorer:
 def weak_labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, votes, posterior) of every row, and the posterior of each vote pattern.
 
-    EM sees the counts of all rows' patterns: at most 3 ** 7 rows reach the driver.
+    EM sees the counts of all rows' patterns: at most 3 ** 9 rows reach the driver.
     """
     spark = docs.sparkSession
     schema = arrow_schema(spark.createDataFrame([], VOTES).schema)
@@ -192,11 +197,11 @@ def weak_labels(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     post, _, _ = em(patterns, np.array([r.n for r in counted], float))
     rows = [(*map(int, p), float(q)) for p, q in zip(patterns, post)]
     table_of = spark.createDataFrame(rows, ", ".join(f"{n} byte" for n in LABELLERS) + ", posterior double")
-    return voted.join(F.broadcast(table_of), list(LABELLERS)), table_of  # at most 3 ** 7 rows
+    return voted.join(F.broadcast(table_of), list(LABELLERS)), table_of  # at most 3 ** 9 rows
 
 
-def fit_scorer(docs: DataFrame, labelled: DataFrame, most: int = 3000, most_words: int = 50_000) -> LinearScorer:
-    """Train on at most ``most`` documents of each posterior label, the first by a hash of doc_id, of ``most_words`` words or fewer."""
+def fit_scorer(docs: DataFrame, labelled: DataFrame, most: int = 3000) -> LinearScorer:
+    """Train on at most ``most`` whole documents of each posterior label, the first by a hash of doc_id."""
     ids = labelled.groupBy("doc_id").agg(F.min("posterior").alias("posterior")).withColumn("h", F.xxhash64("doc_id", F.lit(2)))
     ids = materialise(ids, "posteriors")
     good = F.col("posterior") >= 0.5
@@ -211,7 +216,7 @@ def fit_scorer(docs: DataFrame, labelled: DataFrame, most: int = 3000, most_word
                 own, bounds = features(w)
                 found += [
                     (ids[w.rows.start + d], posts[w.rows.start + d], own[bounds[d] : bounds[d + 1]].astype(np.int32).tobytes())
-                    for d in range(len(bounds) - 1) if w.counts[d] <= most_words
+                    for d in range(len(bounds) - 1)
                 ]
             if found:
                 a, p, t = zip(*found)

@@ -424,6 +424,30 @@ def test_toxicity_learns_and_scores_every_text(spark, docs, empty):
     assert toxicity.score(empty, toxicity.train_scorer(empty, labels.limit(0))).count() == 0
 
 
+def test_network_scores_follow_brute_force():
+    """Logits of whole texts against loops over parts, filters and places."""
+    rng, tx = np.random.default_rng(8), toxicity
+    net = tx.TextNetwork()
+    net.tables[:, :50] = rng.normal(0, 1, (tx.TABLES, 50, tx.DIM))
+    net.p["o"] = rng.normal(0, 1, len(net.p["o"])).astype(np.float32)
+    sizes = [0, 1, 2, 7, 8, 9, 40, 200, 0]
+    bounds = np.cumsum([0, *sizes])
+    rows = rng.integers(0, 50, (bounds[-1], tx.TABLES))
+    want = []
+    for a, b in zip(bounds, bounds[1:]):
+        x, found, n = sum(net.tables[t][rows[a:b, t]] for t in range(tx.TABLES)), [], b - a
+        for k in tx.WIDTHS:
+            tops = np.zeros((tx.PARTS, tx.FILTERS))
+            for part in range(tx.PARTS):
+                for i in range(n * part // tx.PARTS, n * (part + 1) // tx.PARTS):
+                    y = net.p[f"b{k}"] + sum(x[i + j] @ net.p[f"w{k}"][j] for j in range(k) if i + j < n)
+                    tops[part] = np.maximum(tops[part], y)
+            found.append(-np.sort(-tops, axis=0)[: tx.KEPT].ravel())
+        want.append(np.concatenate(found) @ net.p["o"] + net.p["c"][0])
+    assert np.allclose(net.logits(rows, bounds), want, atol=1e-3)
+    assert np.allclose(net.pooled(rows, bounds, True)[0], net.pooled(rows, bounds)[0])
+
+
 @pytest.mark.parametrize("gap", [0.01, 1.0, 50.0, 5000.0])
 def test_calibration_keeps_the_order_of_separable_logits(gap):
     z = np.concatenate([np.full(900, -gap), np.full(90, -gap) + 1e-3 * gap * np.arange(90), np.linspace(gap, 3 * gap, 110)])
@@ -455,12 +479,33 @@ def test_samples_are_the_first_by_hash(spark, n):
 
 
 def test_em_recovers_accuracies():
+    """Overlapping labellers of different accuracies in both classes, one wrong on a tenth and one on a quarter of the good texts, with gaps."""
     rng = np.random.default_rng(5)
-    y = rng.random(20000) < 0.8
-    votes = np.stack([np.where(y, 1, np.where(rng.random(20000) < p, -1, 1)) for p in (0.3, 0.5, 0.7)], 1)
+    y = rng.random(60000) < 0.8
+    truth = np.array([[0.9, 0.8, 0.7, 0.6, 0.85, 0.5], [0.02, 0.1, 0.05, 0.01, 0.25, 0.0]])
+    votes = np.stack([np.where(rng.random(len(y)) < 0.1, 0, np.where(rng.random(len(y)) < truth[y.astype(int), j], -1, 1)) for j in range(6)], 1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
     post, rates, share = quality.em(patterns, counts.astype(float))
-    assert share == pytest.approx(0.8, abs=0.08) and (np.diff(rates[0]) > 0).all()
+    assert share == pytest.approx(0.8, abs=0.01) and np.abs(rates - truth).max() < 0.02
+    good = {tuple(p): q for p, q in zip(patterns, post)}
+    assert np.mean([(good[tuple(v)] >= 0.5) == t for v, t in zip(votes, y)]) > 0.95
+    # A start that is far off weighs little.
+    assert quality.em(np.zeros((0, 6), int), np.zeros(0))[0].size == 0
+
+
+def test_weak_labels_follow_brute_force(spark, docs):
+    """Votes and posteriors of every row, against counting and EM in plain Python over the same votes."""
+    labelled, _ = quality.weak_labels(docs)
+    rows = labelled.collect()
+    got = Counter(tuple(r[n] for n in quality.LABELLERS) for r in rows)
+    own = Counter()
+    for _, t, *_ in corpus():
+        own[tuple(int(x) for w in quality.token_batches(pa.array([t], pa.string())) for x in quality.votes(w)[0])] += 1
+    assert got == own and len(rows) == len(corpus())
+    patterns = np.array(sorted(own))
+    post, _, _ = quality.em(patterns, np.array([own[tuple(p)] for p in patterns.tolist()], float))
+    want = {tuple(p): q for p, q in zip(patterns.tolist(), post)}
+    assert all(r.posterior == pytest.approx(want[tuple(r[n] for n in quality.LABELLERS)]) for r in rows)
 
 
 def test_language_id_and_marginal_likelihood(spark, docs, empty):
