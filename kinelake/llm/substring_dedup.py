@@ -9,6 +9,10 @@ candidates survive or the wanted length is reached.
 Anchors are sampled without loss: of each window, the part with the smallest
 hash. Equal windows have equal smallest parts, so a repeated window has a
 repeated anchor, while about one word in four starts one.
+
+Anchors only filter, by 64-bit hashes. Windows are equal if 96 bits of two
+hashes are: among 10^13 windows one in a thousand corpora would have two
+different ones that agree.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, materialise, table
+from .shared import arrow_schema, discard, join_counted, materialise, table
 from .text import Words, column, token_batches
 
 WINDOW = 13
-WINDOWS = "h long, doc_id long, at int"
+WINDOWS = "h long, g int, doc_id long, at int"
+ANCHORS = "doc_id long, anchors array<long>"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -44,26 +49,28 @@ def anchors(words: Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, at, part
 
 
-def _anchor_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(h, doc_id): each document's anchors, once."""
-    schema = arrow_schema(docs.sparkSession.createDataFrame([], "h long, doc_id long").schema)
+def _anchors(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, anchors): each document's anchors, once."""
+    schema = arrow_schema(docs.sparkSession.createDataFrame([], ANCHORS).schema)
 
     def run(batches):
         for b in batches:
-            ids = b.column(b.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
+            ids = b.column(b.schema.get_field_index("doc_id"))
             for words in token_batches(column(b, "text")):
                 _, at, part = anchors(words, window)
                 at = np.unique(at)
-                if len(at):
-                    doc = np.searchsorted(words.bounds, at, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(part[at].view(np.int64)), pa.array(ids[words.rows.start + doc].astype(np.int64))], schema=schema)
+                ends = np.searchsorted(at, words.bounds).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(part[at].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids.slice(words.rows.start, len(lists)), lists.cast(schema.field(1).type)], schema=schema)
 
-    return docs.mapInArrow(run, "h long, doc_id long")
+    return docs.mapInArrow(run, ANCHORS)
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """(h, lo): hashes of two documents or more and the smallest of these; summed up before the shuffle."""
-    return rows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").drop("hi")
+def _shared(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, int]:
+    """(keys, lo, n): hashes of two documents or more, the smallest of these, and the rows of each; and all their rows. Summed up before the shuffle."""
+    found = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").drop("hi")
+    found = materialise(found, name)
+    return found, found.agg(F.sum("n")).first()[0] or 0
 
 
 def _level(docs: DataFrame, known: DataFrame, window: int, before: int | None) -> DataFrame:
@@ -101,36 +108,47 @@ def _level(docs: DataFrame, known: DataFrame, window: int, before: int | None) -
                     starts = starts[member[starts + window - before] & (starts + window <= words.bounds[doc + 1])]
                 if len(starts):
                     h, _, first = words.windows(window)
-                    h = h[np.searchsorted(first, starts)]
+                    g, at = words.windows(window, True)[0], np.searchsorted(first, starts)
+                    h, g = h[at], (g[at] >> np.uint64(32)).astype(np.uint32)
                     doc = np.searchsorted(words.bounds, starts, "right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(ids[rows.start + doc].astype(np.int64)), pa.array((starts - words.bounds[doc]).astype(np.int32))], schema=schema
+                        [pa.array(h.view(np.int64)), pa.array(g.view(np.int32)), pa.array(ids[rows.start + doc].astype(np.int64)), pa.array((starts - words.bounds[doc]).astype(np.int32))], schema=schema
                     )
 
     joined = docs.join(known.select("doc_id", "known"), "doc_id").select("doc_id", "text", "known")
     return joined.mapInArrow(run, WINDOWS)
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, upto: int | None = WINDOW) -> list[tuple[int, DataFrame]]:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, upto: int | None = WINDOW, first: bool = True) -> list[tuple[int, DataFrame]]:
     """Repeated windows by length: (length, (doc_id, at, lo)), lo being the smallest document that has the window.
 
     ``window`` is the shortest length of interest. Lengths double from it
     until no candidates survive, or to ``upto``. All rows of a document with a
-    window are listed, the first document's as well.
+    window are listed; the first document's as well, but for ``first`` False,
+    which ends at ``window``. A window or anchor that a large share of all
+    rows has is no task of its own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    rows = _anchor_rows(docs, window)
-    known = rows.join(_shared(rows), "h").groupBy("doc_id").agg(F.collect_list("h").alias("known"))
-    known, before, out = materialise(known, "anchors"), None, []
+    listed = materialise(_anchors(docs, window), "anchors")
+    rows = listed.select("doc_id", F.explode("anchors").alias("h"))
+    shared, total = _shared(rows, ["h"], "shared-anchors")
+    known = join_counted(rows, shared, ["h"], total).groupBy("doc_id").agg(F.collect_list("h").alias("known"))
+    known, before, out = materialise(known, "known"), None, []
+    discard(listed, shared)
     while True:
         found = materialise(_level(docs, known, window, before), f"windows-{window}")
-        repeated = materialise(found.join(_shared(found), "h").select("doc_id", "at", "lo"), f"repeats-{window}")
+        shared, total = _shared(found, ["h", "g"], f"shared-{window}")
+        repeated = join_counted(found, shared, ["h", "g"], total).select("doc_id", "at", "lo")
+        if not first:
+            repeated = repeated.filter("lo < doc_id")
+        repeated = materialise(repeated, f"repeats-{window}")
+        discard(known, found, shared)
         if before is not None and repeated.isEmpty():
             return out
         out.append((window, repeated))
         if upto is not None and window >= upto:
             return out
-        known = repeated.groupBy("doc_id").agg(F.collect_list("at").alias("known"))
+        known = materialise(repeated.groupBy("doc_id").agg(F.collect_list("at").alias("known")), "known")
         before, window = window, min(2 * window, upto or 2 * window)
 
 
@@ -175,9 +193,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = False) ->
     """
     schema_of = RESULT + (", kept_text string" if text else "")
     schema = arrow_schema(docs.sparkSession.createDataFrame([], schema_of).schema)
-    (_, repeated), = repeated_windows(docs, window, window)
-    covered = repeated.filter("lo < doc_id").groupBy("doc_id").agg(F.collect_list("at").alias("known"))
-    covered = materialise(covered, "covered")
+    (_, repeated), = repeated_windows(docs, window, window, False)
+    covered = materialise(repeated.groupBy("doc_id").agg(F.collect_list("at").alias("known")), "covered")
+    discard(repeated)
 
     def run(batches):
         for b in batches:

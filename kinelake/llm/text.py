@@ -58,7 +58,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = Powers(int(_BASE)), Powers(0xD1342543DE82EF95)
+_BYTE_POWERS, _WORD_POWERS, _SECOND_POWERS = Powers(int(_BASE)), Powers(0xD1342543DE82EF95), Powers(0xAF251AF3B0F025B5)
 
 
 @dataclass
@@ -87,14 +87,14 @@ class Words:
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, document, first word) of each run of ``size`` words."""
+    def windows(self, size: int, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, document, first word) of each run of ``size`` words; ``second`` gives another, independent hash."""
         counts = np.maximum(self.counts - size + 1, 0)
         doc = np.repeat(np.arange(len(counts)), counts)
         first = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts) + self.bounds[:-1][doc]
-        up, down = _WORD_POWERS.get(len(self.hashes) + 1)
+        up, down = (_SECOND_POWERS if second else _WORD_POWERS).get(len(self.hashes) + 1)
         total = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(self.hashes * up[:-1], out=total[1:])
+        np.cumsum((mix(self.hashes ^ _BASE) if second else self.hashes) * up[:-1], out=total[1:])
         return mix((total[first + size] - total[first]) * down[first]), doc, first
 
 
