@@ -19,7 +19,10 @@ BUCKETS = 4096
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """(doc_id, source, size, key): the key orders documents; without an id it is that of the text."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    return docs.select("doc_id", "source", size.alias("size"), key.alias("key"))
 
 
 def water_fill(sources: DataFrame, share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -52,16 +55,18 @@ def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, max_epochs: int
     the next one still fits. The running sum over a source is made of sums
     over up to 4,096 ranges of that order, so a source with a third of all
     rows is no task of its own. A document without words, or of an empty
-    source, is taken zero words. Equal rows get equal counts.
+    source, is taken zero words. A document without an id is ordered by its
+    text; rows that repeat an id are taken one by one, smaller ones first.
     """
     docs = materialise(sized(docs), "sizes")
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = sources.join(weights.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")))
-    sources = materialise(water_fill(sources.select("source", "weight", "source_size"), share, max_epochs), "targets")
+    sources = materialise(sources.select("source", "weight", "source_size"), "sources")
+    sources = materialise(water_fill(sources, share, max_epochs), "targets")
     epochs = F.try_divide(F.col("target"), F.col("source_size"))
     whole = F.coalesce(F.floor(epochs), F.lit(0))
     sources = sources.withColumn("whole", whole).withColumn("rest", F.col("target") - whole * F.col("source_size"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")).cast("binary"))
     docs = docs.withColumn("at", order).withColumn("range", (F.conv(F.substring("at", 1, 3), 16, 10)).cast("int"))
     # Pre-aggregated per range; a running sum over at most 4,096 rows a source.
     ranges = docs.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
@@ -70,7 +75,7 @@ def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, max_epochs: int
     ranges = ranges.join(sources, same(ranges, sources)).select(
         ranges["source"], "range", "before", "source_size", "target", "whole", "rest"
     )
-    within = Window.partitionBy("source", "range").orderBy("at", "doc_id")
+    within = Window.partitionBy("source", "range").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     docs = docs.withColumn("run", F.sum("size").over(within))
     joined = docs.join(ranges, same(docs, ranges) & (docs["range"] == ranges["range"]))
     reached = F.col("before") + F.col("run") - F.col("size") / 2
@@ -81,10 +86,20 @@ def mix(docs: DataFrame, weights: DataFrame, share: float = 1.5, max_epochs: int
 
 
 def cycled_weights(docs: DataFrame, cycle: tuple[int, ...] = (3, 1, 2)) -> DataFrame:
-    """Weights repeating over the sources by code point, null last. One row per source."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in cycle]), (rank % len(cycle) + 1).cast("int"))
-    return docs.select("source").distinct().select("source", weight.alias("weight"))
+    """Weights repeating over the sources by code point, null last. One row per source.
+
+    Sources are ranked within ranges of their order, each after the counts of
+    the ranges before it, so any number of them is ranked without one task for all.
+    """
+    key = F.col("source").asc_nulls_last()
+    distinct = materialise(docs.select("source").distinct(), "named")
+    ranged = materialise(distinct.repartitionByRange(key).withColumn("part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row a partition
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    ranked = ranged.withColumn("rank", rank).join(F.broadcast(before), "part")
+    weight = F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in cycle]), ((F.col("before") + F.col("rank")) % len(cycle) + 1).cast("int"))
+    return ranked.select("source", weight.alias("weight"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
