@@ -41,13 +41,13 @@ VALUES, ORDERS, DEPTH = 48, 16, 3
 #: Values of a sort key: the deepest prefix.
 KEY = 6
 #: The most sets, and shingles of them, that are compared in one piece.
-MOST_SETS, MOST_SHINGLES = 1024, 4_000_000
+MOST_SETS, MOST_SHINGLES = 1024, 2_000_000
 #: Larger regions than this are compared by their rarest shingles, not all against all.
 MOST_BLOCKED = 8192
 #: Where at most so many sets share a prefix shorter than DEPTH, it makes candidates, if so many of the values' low bits agree.
 SPARSE, LEAST_BITS = 32, 38
 #: Rows of a sorted order that are looked at in one go.
-CHUNK_ROWS = 400_000
+CHUNK_ROWS = 100_000
 #: Slots in which shingles of larger regions are counted, by their hash.
 SLOTS = 1 << 21
 #: Pairs that agree in fewer values aren't compared: at 0.85, six standard deviations below the mean.

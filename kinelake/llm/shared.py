@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of the jobs that write scratch tables.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: A key is hot with more than one in HOT_SHARE of all rows, so that there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 10_000
 #: Tables of up to so many short rows (a few MB) are broadcast whole.
@@ -59,15 +60,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage with files that outlive any executor, and lets Spark drop
     the shuffle files of the finished job at once instead of at the driver's
-    next garbage collection.
+    next garbage collection. Batches for Python are small while it runs.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "lz4").parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
