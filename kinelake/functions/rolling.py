@@ -1,11 +1,13 @@
 """Rolling aggregates over frame-ordered trajectories.
 
-Means, sums and shares come from running sums over the whole trajectory and
-their values at the two ends of the frame, so their cost does not depend on
-the width; a series is centred on its mean first, against cancellation.
-Variances would lose small values to it, so they, minimum, maximum, median,
-rank and slope use Spark's frames. All of them share one partitioning and one
-order: one exchange and one sort.
+Means, sums and counts alone come from running sums over the whole trajectory
+and their values at the two ends of the frame, as window functions, so their
+cost does not depend on the width; a series is centred on its mean first,
+against cancellation. Where spreads, extremes, medians, ranks, correlations or
+slopes are among the aggregates, one grouped Arrow function computes all of
+them in numpy from sliding views of the trajectory, in blocks of bounded size:
+one pass for any number of aggregates, where window functions would need a
+frame of their own for each. Both share the trajectory's exchange and sort.
 """
 
 from __future__ import annotations
@@ -13,10 +15,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 SUMS = ("mean", "sum", "count")
+#: Values of a sliding view that are worked on at once.
+BLOCK = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -77,10 +84,14 @@ class Track:
         return F.when(F.col("__length") >= width, c)
 
     def roll(self, rolls: dict[str, Roll], length: bool = False) -> "Track":
-        """Add a column for each roll."""
+        """Add a column for each roll; with ``length`` also the number of the trajectory's rows."""
+        return self._slide(rolls, length) if any(r.kind not in SUMS for r in rolls.values()) else self._run(rolls, length)
+
+    def _run(self, rolls: dict[str, Roll], length: bool) -> "Track":
+        """Sums by window functions, from running sums."""
         whole = self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         run = self.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        series = sorted({r.series for r in rolls.values()} | {r.other for r in rolls.values() if r.other})
+        series = sorted({r.series for r in rolls.values()})
         mean = {f"__m_{s}": F.avg(s).over(whole) for s in series}
         sums: dict[str, Column] = {}
         for s in series:
@@ -102,51 +113,96 @@ class Track:
             return F.col(at(name, r.hi)) - F.col(at(name, r.lo - 1))
 
         out: dict[str, Column] = {}
-        native: dict[str, Column] = {}
         for name, r in rolls.items():
-            n = span(f"__n_{r.series}", r)
-            if r.kind in SUMS:
-                s, m = span(f"__s_{r.series}", r), F.col(f"__m_{r.series}")
-                value = {"mean": F.try_divide(s, n) + m, "sum": s + n * m, "count": n.cast("double")}[r.kind]
-            else:
-                native[f"__w_{name}"] = NATIVE[r.kind](r, self.window.rowsBetween(r.lo, r.hi))
-                value = F.col(f"__w_{name}")
-            out[name] = F.when(n >= r.least, value)
+            n, s, m = span(f"__n_{r.series}", r), span(f"__s_{r.series}", r), F.col(f"__m_{r.series}")
+            out[name] = F.when(n >= r.least, {"mean": F.try_divide(s, n) + m, "sum": s + n * m, "count": n.cast("double")}[r.kind])
         df = self.df.withColumns(mean).withColumns(sums | ({"__length": self.length()} if length else {}))
-        df = df.withColumns(ends | native).withColumns(out)
-        return self.on(df.drop(*mean, *sums, *ends, *native))
-
-
-def _rank(r: Roll, frame: WindowSpec) -> Column:
-    """Average rank of the last value among those of the frame, as a share of their count."""
-    values, now = F.collect_list(r.series).over(frame), F.col(r.series)
-    less = F.size(F.filter(values, lambda v: v < now))
-    equal = F.size(F.filter(values, lambda v: v == now))
-    return F.when(now.isNotNull(), F.try_divide(less + (equal + 1) / 2, F.size(values)))
-
-
-def _correlation(r: Roll, frame: WindowSpec) -> Column:
-    """Pearson's, over the rows that have both values; NULL where either is constant."""
-    a, b = F.when(F.col(r.other).isNotNull(), F.col(r.series)), F.when(F.col(r.series).isNotNull(), F.col(r.other))
-    return F.try_divide(F.covar_pop(a, b).over(frame), F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame))
-
-
-def _slope(r: Roll, frame: WindowSpec) -> Column:
+        df = df.withColumns(ends).withColumns(out)
+        return self.on(df.drop(*mean, *sums, *ends))
+
+    def _slide(self, rolls: dict[str, Roll], length: bool) -> "Track":
+        """All aggregates by one grouped Arrow function; a trajectory, never more, is in one task's memory."""
+        more = [StructField(n, DoubleType()) for n in rolls] + ([StructField("__length", DoubleType())] if length else [])
+        order = self.order
+
+        def slide(t: pa.Table) -> pa.Table:
+            t = t.take(pa.array(np.argsort(t.column(order).to_numpy(), kind="stable")))
+            get = lambda name: t.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            for name, values in aggregates(rolls, get, t.num_rows).items():
+                t = t.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
+            return t.append_column("__length", pa.array(np.full(t.num_rows, float(t.num_rows)))) if length else t
+
+        df = self.df.select(*(F.col(f"`{c}`") for c in self.df.columns))
+        return self.on(df.groupBy(*self.keys).applyInArrow(slide, StructType([*self.df.schema.fields, *more])))
+
+
+def aggregates(rolls: dict[str, Roll], get: Callable[[str], np.ndarray], n: int) -> dict[str, np.ndarray]:
+    """Each roll's values over a trajectory of ``n`` rows in order; gaps are NaN."""
+    out = {name: np.full(n, np.nan) for name in rolls}
+    frames: dict[tuple, list[str]] = {}
+    for name, r in rolls.items():
+        frames.setdefault((r.series, r.lo, r.hi), []).append(name)
+    for (series, lo, hi), names in frames.items():
+        width = hi - lo + 1
+        padded = {s: np.concatenate([np.full(-lo, np.nan), get(s), np.full(hi, np.nan)]) for s in {series, *(rolls[k].other for k in names if rolls[k].other)}}
+        seen = np.concatenate([[0], np.cumsum(~np.isnan(padded[series]))])
+        count, now = seen[width:] - seen[:-width], padded[series][-lo : len(padded[series]) - hi]
+        views = {s: np.lib.stride_tricks.sliding_window_view(x, width) for s, x in padded.items()}
+        for at in range(0, n, max(1, BLOCK // width)):
+            rows = slice(at, at + max(1, BLOCK // width))
+            v, c = views[series][rows], count[rows]
+            with np.errstate(all="ignore"):
+                for name in names:
+                    r = rolls[name]
+                    value = KINDS[r.kind](v, c, now[rows], views[r.other][rows] if r.other else None)
+                    out[name][rows] = np.where(c >= r.least, value, np.nan)
+    return out
+
+
+def _mean(v, c):
+    return np.nansum(v, 1) / c
+
+
+def _var(v, c, *_):
+    m = _mean(v, c)
+    return np.where(c > 1, np.nansum((v - m[:, None]) ** 2, 1) / (c - 1), np.nan)
+
+
+def _median(v, c, *_):
+    ordered, row = np.sort(v, axis=1), np.arange(len(v))  # gaps come last
+    low = ordered[row, np.maximum(c - 1, 0) // 2]
+    return low + (ordered[row, np.minimum(c // 2, v.shape[1] - 1)] - low) / 2
+
+
+def _rank(v, c, now, _):
+    """Average rank of the frame's own row among its values, as a share of their count."""
+    return np.where(np.isnan(now), np.nan, ((v < now[:, None]).sum(1) + ((v == now[:, None]).sum(1) + 1) / 2) / c)
+
+
+def _correlation(v, c, now, other):
+    """Pearson's, over the rows that have both values; none where either is constant."""
+    both = ~(np.isnan(v) | np.isnan(other))
+    n = both.sum(1)
+    a, b = np.where(both, v, np.nan), np.where(both, other, np.nan)
+    flat = (np.fmin.reduce(a, 1) == np.fmax.reduce(a, 1)) | (np.fmin.reduce(b, 1) == np.fmax.reduce(b, 1))
+    a, b = a - _mean(a, n)[:, None], b - _mean(b, n)[:, None]
+    return np.where(flat, np.nan, np.nansum(a * b, 1) / np.sqrt(np.nansum(a * a, 1) * np.nansum(b * b, 1)))
+
+
+def _slope(v, c, *_):
     """Least-squares slope over the values' own positions; 0 for a single one."""
-    position = F.col(f"__n_{r.series}").cast("double")  # counts the values so far
-    seen = F.count(r.series).over(frame)
-    return F.when(seen >= 2, F.regr_slope(F.col(r.series), F.when(F.col(r.series).isNotNull(), position)).over(frame)).when(seen == 1, 0.0)
-
-
-NATIVE: dict[str, Callable[[Roll, WindowSpec], Column]] = {
-    "var": lambda r, frame: F.var_samp(r.series).over(frame),
-    "std": lambda r, frame: F.stddev_samp(r.series).over(frame),
-    "min": lambda r, frame: F.min(r.series).over(frame),
-    "max": lambda r, frame: F.max(r.series).over(frame),
-    "median": lambda r, frame: F.expr(f"percentile({r.series}, 0.5)").over(frame),
-    "rank": _rank,
-    "corr": _correlation,
-    "slope": _slope,
+    known = ~np.isnan(v)
+    x = np.where(known, np.cumsum(known, 1) - 1.0, np.nan)
+    x = x - (c[:, None] - 1) / 2
+    slope = np.nansum(x * (v - _mean(v, c)[:, None]), 1) / np.nansum(x * x, 1)
+    return np.where(c > 1, slope, 0.0)
+
+
+#: By kind: (frames' values, how many there are, each frame's own row, another series' frames).
+KINDS: dict[str, Callable] = {
+    "mean": lambda v, c, *_: _mean(v, c), "sum": lambda v, c, *_: np.nansum(v, 1), "count": lambda v, c, *_: c.astype(float),
+    "var": _var, "std": lambda v, c, *_: np.sqrt(_var(v, c)), "min": lambda v, c, *_: np.fmin.reduce(v, 1), "max": lambda v, c, *_: np.fmax.reduce(v, 1),
+    "median": _median, "rank": _rank, "corr": _correlation, "slope": _slope,
 }
 
 
