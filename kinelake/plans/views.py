@@ -48,11 +48,11 @@ FROM frames GROUP BY video_id""",
     "annotation": """
 SELECT video_id, mouse_id AS agent_id, CASE WHEN event_id % 2 = 0 THEN mouse_id ELSE mouse_id % 3 + 1 END AS target_id,
   event_type AS action, video_frame AS start_frame, CAST(video_frame + 3 + event_id % 5 AS INT) AS stop_frame
-FROM frames WHERE event_id % 11 = 0""",
+FROM frames""",
     "pred_raw": """
 SELECT video_id, mouse_id AS agent_id, CASE WHEN event_id % 2 = 0 THEN mouse_id ELSE mouse_id % 3 + 1 END AS target_id,
   event_type AS action, video_frame AS start_frame, CAST(video_frame + event_id % 6 AS INT) AS stop_frame
-FROM frames WHERE event_id % 5 = 0""",
+FROM frames""",
     # Probabilities of four actions at each frame.
     "probabilities": """
 SELECT video_id, mouse_id, video_frame,
