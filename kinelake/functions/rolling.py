@@ -123,7 +123,8 @@ class Track:
     def _slide(self, rolls: dict[str, Roll], length: bool) -> "Track":
         """All aggregates by one grouped Arrow function; a trajectory, never more, is in one task's memory."""
         more = [StructField(n, DoubleType()) for n in rolls] + ([StructField("__length", DoubleType())] if length else [])
-        order = self.order
+        order, new = self.order, {f.name for f in more}
+        df = self.df.select(*(F.col(f"`{c}`") for c in self.df.columns if c not in new))
 
         def slide(t: pa.Table) -> pa.Table:
             t = t.take(pa.array(np.argsort(t.column(order).to_numpy(), kind="stable")))
@@ -132,8 +133,7 @@ class Track:
                 t = t.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
             return t.append_column("__length", pa.array(np.full(t.num_rows, float(t.num_rows)))) if length else t
 
-        df = self.df.select(*(F.col(f"`{c}`") for c in self.df.columns))
-        return self.on(df.groupBy(*self.keys).applyInArrow(slide, StructType([*self.df.schema.fields, *more])))
+        return self.on(df.groupBy(*self.keys).applyInArrow(slide, StructType([*df.schema.fields, *more])))
 
 
 def aggregates(rolls: dict[str, Roll], get: Callable[[str], np.ndarray], n: int) -> dict[str, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,13 @@ def smooth(track: Track, actions: list[str], width: int = 7) -> Track:
     return rolled.on(rolled.df.withColumns({a: F.col(f"__r_{a}") for a in actions}).drop(*(f"__r_{a}" for a in actions)))
 
 
+def only_labelled(scored: DataFrame, labelled: DataFrame, keys: tuple[str, ...], actions: list[str]) -> DataFrame:
+    """Probabilities of a pair's labelled actions, NULL for all others; ``labelled`` has the keys and action, few rows a pair."""
+    mine = labelled.groupBy(*keys).agg(F.collect_set("action").alias("__mine"))
+    has = lambda a: F.array_contains(F.coalesce("__mine", F.array().cast("array<string>")), a)
+    return scored.join(mine, list(keys), "left").withColumns({a: F.when(has(a), F.col(a)) for a in actions}).drop("__mine")
+
+
 def best_action(actions: list[str], thresholds: dict[str, float] | None = None, mask_first: bool = True, default: float = DEFAULT_THRESHOLD) -> Column:
     """The position of the chosen action, -1 for none.
 
@@ -61,18 +69,22 @@ def without_overlap(intervals: DataFrame) -> DataFrame:
     """Of each pair's intervals by start (then stop, action), those that start at or after the last kept one's stop.
 
     What is kept depends on what was: a fold over a pair's sorted intervals,
-    which are the behaviour of one pair in one recording. Starts below 0 go.
+    which are the behaviour of one pair in one recording, in one run of a
+    grouped Arrow function. Starts below 0 go.
     """
-    keys = ["video_id", "agent_id", "target_id"]
-    rows = F.array_sort(F.collect_list(F.struct("start_frame", "stop_frame", "action")))
-    kept = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("last"), F.slice(rows, 1, 0).alias("out")),
-        lambda s, r: F.when(r["start_frame"] >= s["last"], F.struct(r["stop_frame"].alias("last"), F.concat(s["out"], F.array(r)).alias("out"))).otherwise(s),
-        lambda s: s["out"],
-    )
-    grouped = valid(intervals).withColumns({c: F.col(c).cast("int") for c in ("start_frame", "stop_frame")}).groupBy(*keys).agg(kept.alias("k"))
-    return grouped.select(*keys, F.explode("k").alias("k")).select(*keys, "k.action", "k.start_frame", "k.stop_frame")
+    keys, whole = ["video_id", "agent_id", "target_id"], valid(intervals).withColumns({c: F.col(c).cast("int") for c in ("start_frame", "stop_frame")})
+    rows = whole.select(*keys, "action", "start_frame", "stop_frame")
+
+    def keep(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("start_frame", "ascending"), ("stop_frame", "ascending"), ("action", "ascending")])
+        last, kept = 0, []
+        for i, (start, stop) in enumerate(zip(t.column("start_frame").to_pylist(), t.column("stop_frame").to_pylist())):
+            if start >= last:
+                kept.append(i)
+                last = stop
+        return t.take(pa.array(kept, pa.int64()))
+
+    return rows.groupBy(*keys).applyInArrow(keep, rows.schema)
 
 
 def tiles(spans: DataFrame, strict: bool = False) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions.rolling import Track
 from ..functions.scalars import finite, quoted_list
@@ -58,26 +61,23 @@ def drop_parts(track: DataFrame, dropped: tuple[str, ...] = DROPPED_PARTS, most:
     return rows.drop("__parts")
 
 
-def check_unique(track: DataFrame) -> DataFrame:
-    """The rows, or an error when one key has two: a pivot would silently pick."""
-    key = ["video_id", "mouse_id", "video_frame", "bodypart"]
-    twice = track.groupBy(*key).count().filter("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"more than one row for {twice[0].asDict()}")
-    return track
-
-
 def pivot(track: DataFrame, parts: list[str]) -> DataFrame:
     """One row per individual and frame, ``<part>_x`` and ``<part>_y`` for each part.
 
     Conditional aggregates with the parts given: one shuffle, no job to find
-    them. A frame seen for any individual of a video is a row for all of them,
-    as windows count rows.
+    them. A key with two rows is an error, which the same aggregate raises, for
+    a pivot would silently pick. A frame seen for any individual of a video is
+    a row for all of them, as windows count rows.
     """
+    key = ["video_id", "mouse_id", "video_frame"]
     cells = [F.max(F.when(F.col("bodypart") == p, F.col(a))).alias(f"{p}_{a}") for p in parts for a in "xy"]
-    seen = track.groupBy("video_id", "mouse_id", "video_frame").agg(*cells)
+    most = F.greatest(*(F.count_if(F.col("bodypart") == p) for p in parts), F.lit(0))
+    seen = track.groupBy(*key).agg(*cells, most.alias("__most"))
+    twice = F.raise_error(F.concat(F.lit("more than one row for a part of "), F.to_json(F.struct(*key))))
+    # The check hangs on a column that every use of the rows needs.
+    seen = seen.withColumn("video_frame", F.when(F.col("__most") > 1, twice.cast("int")).otherwise(F.col("video_frame"))).drop("__most")
     frames, who = seen.select("video_id", "video_frame").distinct(), seen.select("video_id", "mouse_id").distinct()
-    return frames.join(who, "video_id").join(seen, ["video_id", "mouse_id", "video_frame"], "left")
+    return frames.join(who, "video_id").join(seen, key, "left")
 
 
 def to_cm(pose: DataFrame, videos: DataFrame, coords: list[str]) -> DataFrame:
@@ -87,29 +87,31 @@ def to_cm(pose: DataFrame, videos: DataFrame, coords: list[str]) -> DataFrame:
     return out.drop("__scale")
 
 
-def fill_gaps(track: Track, columns: list[str], step: int = 8) -> Track:
+def fill_gaps(track: Track, columns: list[str], empty: float | None = None) -> Track:
     """Linear interpolation by row position, held constant before the first and after the last value.
 
-    Columns go in groups, each two Window operators on the same sorted rows,
-    to keep generated code small.
+    A column without any value in a trajectory becomes ``empty``. All columns
+    go through one grouped Arrow function, on the trajectory's own exchange
+    and sort: a plan of window functions would grow with their number.
     """
-    w = Window.partitionBy(*track.keys).orderBy(track.order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    df = track.df.withColumn("__row", F.row_number().over(w))
-    for at in range(0, len(columns), step):
-        part = columns[at : at + step]
-        q = lambda c: F.col(f"`{c}`")
-        known = {c: F.when(q(c).isNotNull(), F.struct(F.col("__row").alias("r"), q(c).cast("double").alias("v"))) for c in part}
-        near = {f"__a_{c}": F.last(known[c], True).over(back) for c in part} | {f"__b_{c}": F.first(known[c], True).over(ahead) for c in part}
-        df = df.withColumns(near)
-
-        def value(c: str) -> Column:
-            a, b = F.col(f"`__a_{c}`"), F.col(f"`__b_{c}`")
-            between = a["v"] + (b["v"] - a["v"]) * F.try_divide(F.col("__row") - a["r"], b["r"] - a["r"])
-            return F.when(q(c).isNotNull(), q(c).cast("double")).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(between)
-
-        df = df.withColumns({c: value(c) for c in part}).drop(*(f"`{n}`".strip("`") for n in near))
-    return track.on(df.drop("__row"))
+    order, own = track.order, set(columns)
+
+    def fill(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(t.column(order).to_numpy(), kind="stable")))
+        at = np.arange(t.num_rows)
+        for i, name in enumerate(t.column_names):
+            if name in own:
+                values = t.column(i).to_numpy(zero_copy_only=False).astype(float)
+                known = ~np.isnan(values)
+                if known.any() and not known.all():
+                    values = np.interp(at, at[known], values[known])
+                elif not known.any() and empty is not None:
+                    values = np.full(len(values), empty)
+                t = t.set_column(i, name, pa.array(values, pa.float64(), from_pandas=True))
+        return t
+
+    df = track.df.select(*(F.col(f"`{c}`").cast("double").alias(c) if c in own else F.col(f"`{c}`") for c in track.df.columns))
+    return track.on(df.groupBy(*track.keys).applyInArrow(fill, StructType([StructField(f.name, f.dataType, True) for f in df.schema])))
 
 
 def available_parts(pose: DataFrame, parts: list[str]) -> DataFrame:
@@ -121,9 +123,7 @@ def available_parts(pose: DataFrame, parts: list[str]) -> DataFrame:
 
 def sanitize(track: Track, columns: list[str]) -> Track:
     """Infinities become gaps, gaps are interpolated, what stays empty is 0."""
-    clean = track.on(track.df.withColumns({c: finite(F.col(f"`{c}`").cast("double")) for c in columns}))
-    filled = fill_gaps(clean, columns)
-    return filled.on(filled.df.withColumns({c: F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in columns}))
+    return fill_gaps(track.on(track.df.withColumns({c: finite(F.col(f"`{c}`").cast("double")) for c in columns})), columns, 0.0)
 
 
 def non_finite_report(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -16,8 +16,8 @@ def test_pivot_shares_frames_and_rejects_duplicates(spark):
     rows = [(1, 1, 0, "nose", 1.0, 2.0), (1, 1, 2, "nose", 3.0, None), (1, 2, 1, "tail", 5.0, 6.0)]
     got = {(r.mouse_id, r.video_frame): (r.nose_x, r.nose_y, r.tail_x) for r in pose.pivot(spark.createDataFrame(rows, TRACK), ["nose", "tail"]).collect()}
     assert len(got) == 6 and got[1, 0] == (1.0, 2.0, None) and got[2, 1] == (None, None, 5.0) and got[2, 2] == (None, None, None)
-    with pytest.raises(ValueError):
-        pose.check_unique(spark.createDataFrame(rows + rows[:1], TRACK))
+    with pytest.raises(Exception, match="more than one row"):
+        pose.pivot(spark.createDataFrame(rows + rows[:1], TRACK), ["nose", "tail"]).collect()
 
 
 def test_gap_filling_and_sanitize(spark):
