@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import Track
 from ..functions.scalars import slug, trailing_number
-from ..operators import decode, labels, learning, metric, pose
+from ..operators import decode, labels, learning, metric, pose, single
+from ..sources import readers, sinks
+from . import behaviour
 from .oracle import out
 from .single_queries import PARTS, rounded
 from .views import view, with_views
@@ -104,7 +106,7 @@ _COORDS = [f"{p}_{a}" for p in PARTS for a in "xy"]
 
 
 def _pivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pose.pivot(pose.check_unique(view(spark, sf_dir, "track_long")), PARTS)
+    return pose.pivot(view(spark, sf_dir, "track_long"), PARTS)
 
 
 _PIVOT = f"""WITH wide AS (SELECT video_id, mouse_id, video_frame, {_CELLS} FROM track_long GROUP BY video_id, mouse_id, video_frame),
@@ -469,3 +471,89 @@ def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, cols = _vectors(spark, sf_dir)
     oof = learning.cross_validated(rows, cols, "vec_id", ["vec_id"], 2, 2)
     return oof.groupBy("vec_id", "y").agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and((F.col("p") >= 0) & (F.col("p") <= 1)).alias("between_0_and_1"))
+
+
+# Sources and sinks: what is written comes back.
+_META = ["video_id", "lab_id", "frames_per_second", "arena_width_cm", "arena_height_cm", "arena_shape", "body_parts_tracked", "behaviors_labeled", "mouse1_condition", "mouse1_strain", "mouse1_sex", "mouse3_strain"]
+
+
+@query("scan_metadata", f"SELECT {', '.join(f'trim({c}) AS {c}' if c in ('arena_shape', 'mouse1_strain', 'mouse1_sex') else c for c in _META)}, CAST(NULL AS VARCHAR) AS mouse4_sex FROM metadata")
+def scan_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = sinks.scratch_folder(spark, "metadata")
+    view(spark, sf_dir, "metadata").select(*_META).write.option("header", True).option("escape", '"').csv(path)
+    return readers.read_metadata(spark, path).select(*_META, "mouse4_sex").withColumns({c: F.trim(c) for c in ("arena_shape", "mouse1_strain", "mouse1_sex")})
+
+
+def _by_video(rows: DataFrame, path: str) -> str:
+    """Write one folder a video, <lab>/<video>.parquet: a rename for each of them, a few hundred here."""
+    spark = rows.sparkSession
+    rows.write.partitionBy("lab_id", "video_id").parquet(path)
+    for r in rows.select("lab_id", "video_id").distinct().collect():
+        old, new = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{p}") for p in (f"lab_id={r.lab_id}/video_id={r.video_id}", f"{r.lab_id}/{r.video_id}.parquet"))
+        fs = old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        fs.mkdirs(new.getParent())
+        fs.rename(old, new)
+    return path
+
+
+def _labs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "videos").select("video_id", "lab_id")
+
+
+@query("scan_tracking", "SELECT v.lab_id, t.video_id, t.video_frame, CAST(t.mouse_id AS VARCHAR) AS mouse_id, t.bodypart, t.x, t.y FROM track_long t JOIN videos v ON t.video_id = v.video_id")
+def scan_tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "track_long").join(_labs(spark, sf_dir), "video_id")
+    return readers.read_tracking(spark, _by_video(rows, sinks.scratch_folder(spark, "tracking")))
+
+
+@query("scan_annotation", "SELECT v.lab_id, a.video_id, a.agent_id, a.target_id, a.action, a.start_frame, a.stop_frame FROM annotation a JOIN videos v ON a.video_id = v.video_id")
+def scan_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "annotation").join(_labs(spark, sf_dir), "video_id")
+    return readers.read_annotation(spark, _by_video(rows, sinks.scratch_folder(spark, "annotation")))
+
+
+@query("threshold_store", f"""SELECT action, arg_min(threshold, (-f, threshold)) AS threshold FROM
+ (SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f FROM ({_GRID})) GROUP BY action""")
+def threshold_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuned thresholds, saved for two switches and loaded for one."""
+    path, best = sinks.scratch_folder(spark, "thresholds"), learning.best_thresholds(learning.threshold_grid(_scored(spark, sf_dir)))
+    for switch, t in (("pair", F.col("threshold")), ("single", F.lit(2.0)), ("pair", F.col("threshold"))):
+        sinks.save_thresholds(best.select(F.lit("s").alias("section_slug"), F.lit(switch).alias("switch"), "action", t.alias("threshold")), path)
+    return spark.createDataFrame(list(sinks.load_thresholds(spark, path, "s", "pair").items()), "action STRING, threshold DOUBLE")
+
+
+@query("fallback_row", """WITH none AS (SELECT * FROM pred_raw WHERE stop_frame < start_frame), v AS (SELECT * FROM pred_raw WHERE start_frame < stop_frame)
+SELECT 'none' AS source, n.* FROM none n UNION ALL SELECT 'none', 7, 1, 1, 'rear', 278, 500 WHERE NOT EXISTS (SELECT 1 FROM none)
+UNION ALL SELECT 'valid', v.* FROM v UNION ALL SELECT 'valid', 7, 1, 1, 'rear', 278, 500 WHERE NOT EXISTS (SELECT 1 FROM v)""")
+def fallback_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row stands in where there is no interval at all, and only there."""
+    p, row = view(spark, sf_dir, "pred_raw"), (7, 1, 1, "rear", 278, 500)
+    tables = {"none": p.filter("stop_frame < start_frame"), "valid": decode.valid(p)}
+    one, two = (decode.fallback(t, row).select(F.lit(name).alias("source"), "*") for name, t in tables.items())
+    return one.unionByName(two)
+
+
+@query("frame_fbeta_mean", f"{_SCORE} SELECT round(avg(f), 9) AS f FROM (SELECT lab_id, avg(f) AS f FROM s GROUP BY lab_id)")
+def frame_fbeta_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.lab_scores(*_solution(spark, sf_dir)).agg(F.round(F.avg("f"), 9).alias("f"))
+
+
+@query("only_labelled", f"""WITH l AS (SELECT video_id, list(DISTINCT concat('p_', action)) AS mine FROM {_SPECS} GROUP BY video_id)
+SELECT p.video_id, mouse_id, video_frame, {', '.join(f"CASE WHEN list_contains(mine, '{p}') THEN {p} END AS {p}" for p in _P)} FROM probabilities p LEFT JOIN l ON p.video_id = l.video_id""")
+def only_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mine = labels.label_specs(view(spark, sf_dir, "metadata")).select("video_id", F.concat(F.lit("p_"), "action").alias("action"))
+    return decode.only_labelled(view(spark, sf_dir, "probabilities"), mine, ("video_id",), _P).select(*KEYS, "video_frame", *_P)
+
+
+_WITH_META = ["meta_fps", "meta_n_mice", "meta_arena_area_cm2", "meta_same_sex", "meta_agent_strain_code", "meta_arena_shape_code"]
+
+
+@query("matrix_meta", f"""SELECT p.video_id, p.mouse_id, p.video_frame, {r6('nt')}, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _WITH_META)} FROM
+ (SELECT *, sqrt((nose_x - tail_base_x) * (nose_x - tail_base_x) + (nose_y - tail_base_y) * (nose_y - tail_base_y)) AS nt FROM pose) p
+ LEFT JOIN (SELECT * FROM ({ORACLES['meta_encode'].replace(chr(10), ' ')}) WHERE target = 'self') m ON p.video_id = m.video_id""")
+def matrix_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with the meta columns of their video and individual; videos without metadata have zeros."""
+    rows = view(spark, sf_dir, "pose").withColumn("nt", F.sqrt(single.squared_distance("nose", "tail_base")))
+    got = behaviour.with_meta(rows, meta_encode(spark, sf_dir).filter("target = 'self'"), ["video_id"])
+    nt = rounded(got, KEYS, ["nt"])
+    return nt.join(got.select(*KEYS, "video_frame", *_WITH_META), [*KEYS, "video_frame"])

@@ -21,9 +21,9 @@ def read_metadata(spark: SparkSession, path: str, schema: str = METADATA) -> Dat
 
 
 def _with_ids(rows: DataFrame) -> DataFrame:
-    """Lab and video from the last two parts of the file's path, <lab>/<video>.parquet."""
-    path = F.col("_metadata.file_path")
-    return rows.select("*", F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("lab_id"), F.regexp_extract(path, r"([^/]+)\.parquet$", 1).cast("long").alias("video_id"))
+    """Lab and video from the path, <lab>/<video>.parquet, a file or a folder of files."""
+    path, form = F.col("_metadata.file_path"), r"([^/]+)/(\d+)\.parquet(?:/[^/]+)?$"
+    return rows.select("*", F.url_decode(F.regexp_extract(path, form, 1)).alias("lab_id"), F.regexp_extract(path, form, 2).cast("long").alias("video_id"))
 
 
 def read_tracking(spark: SparkSession, folder: str) -> DataFrame:

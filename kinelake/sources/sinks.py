@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which all machines share; in local mode a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-kinelake-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
     """row_id from 0 in the given order, without a single-task sort.
 
