@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.rolling import Track, centred
 from ..functions.scalars import quoted_list
 
+# The threshold of an action without a tuned one, and the shortest run of an action.
 DEFAULT_THRESHOLD = 0.27
 LEAST_FRAMES = 3
 

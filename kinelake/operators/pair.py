@@ -16,6 +16,7 @@ from ..functions.scalars import cosine, indicator, norm, over, square, wrapped
 from ..functions.scaling import scale, scale_signed
 
 KEYS = ("video_id", "agent_id", "target_id")
+# Lags in frames at 30 fps.
 LAGS = (1, 2, 3, 4, 5, 10, 20, 30, 40, 50, 60)
 NOSE_LAGS = (*range(1, 10), *range(10, 101, 10))
 
@@ -65,7 +66,7 @@ def orientation(track: Track) -> Track:
     """Cosine of the body axes, and whether they are parallel, opposed or across."""
     a, b = ([_d(w, "nose", w, "tail_base", axis) for axis in "xy"] for w in "AB")
     track = track.add({"rel_ori": cosine(*a, *b)})
-    c = F.col("rel_ori")
+    c = F.col("rel_ori")  # fixed values: bounds of the cosine
     return track.add({
         "head_cos": c, "head_parallel": indicator(c > 0.5), "head_antipar": indicator(c < -0.5), "head_side": indicator((c >= -0.5) & (c <= 0.5)),
     })
@@ -80,7 +81,7 @@ def facing(track: Track) -> Track:
         out[f"{me}_face_cos"] = F.cos(wrapped(to - head))
     track, bins = track.add(out), {}
     for me in "AB":
-        c = F.col(f"{me}_face_cos")
+        c = F.col(f"{me}_face_cos")  # fixed values: bounds of the cosine
         bins |= {f"{me}_face_front": indicator(c > 0.7), f"{me}_face_back": indicator(c < -0.5), f"{me}_face_side": indicator((c <= 0.7) & (c >= -0.5))}
     return track.add(bins)
 
@@ -108,6 +109,7 @@ def _centres(track: Track) -> Track:
 
 def distance_bins(track: Track) -> Track:
     cd = F.sqrt(square(_d("A", "body_center", "B", "body_center", "x")) + square(_d("A", "body_center", "B", "body_center", "y")))
+    # Bounds of the distance in cm.
     return track.add({
         "v_cls": indicator(cd < 5), "cls": indicator((cd >= 5) & (cd < 15)), "med": indicator((cd >= 15) & (cd < 30)), "far": indicator(cd >= 30),
     })

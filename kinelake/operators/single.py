@@ -16,6 +16,7 @@ from ..functions.rolling import Roll, Track, centred, ewm, future, trailing
 from ..functions.scalars import clipped, cosine, finite, indicator, norm, over, square
 from ..functions.scaling import scale, scale_signed
 
+# Lags in frames at 30 fps.
 LAGS = (1, 2, 3, 4, 5, 10, 20, 30, 40, 50, 60)
 
 
@@ -98,6 +99,7 @@ def speed_states(track: Track) -> Track:
     track, ma = centre_motion(track), scale(15, track.fps)
     track = track.roll({"__ma": trailing("__raw", "mean", ma, max(1, ma // 3))})
     c = F.col("__ma")
+    # Bounds of the states in cm/s.
     state = F.when(c <= 0.5 * track.fps, 0).when(c <= 2.0 * track.fps, 1).when(c <= 5.0 * track.fps, 2).when(c.isNotNull(), 3)
     track = track.add({"__state": state})
     flags = {f"__is{k}": indicator(F.col("__state") == k) for k in range(4)}
