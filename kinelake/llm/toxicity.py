@@ -210,15 +210,18 @@ def train(rows: list, default: float = 0.7, precision: float = 0.95) -> Scorer:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Scorer(TextNetwork(), 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    out = np.zeros(len(y), bool)
+    out, fit = np.zeros(len(y), bool), np.ones(len(y), bool)
     for label in (0, 1):
-        out[np.flatnonzero(y == label)[::5]] = True
+        own = np.flatnonzero(y == label)
+        out[own[::5]] = True
+        if len(own) >= 5:  # fewer rows are both fitted on and calibrated with
+            fit[own[::5]] = False
     net = TextNetwork()
-    docs = [r[2] for r in rows]
-    net.start([d for d, o in zip(docs, out) if not o], y[~out])
-    net.fit([d for d, o in zip(docs, out) if not o], y[~out])
+    docs = [d for d, f in zip((r[2] for r in rows), fit) if f]
+    net.start(docs, y[fit])
+    net.fit(docs, y[fit])
     net.known = None
-    held = [d for d, o in zip(docs, out) if o]
+    held = [r[2] for r, o in zip(rows, out) if o]
     z = np.concatenate([net.logits(d, np.array([0, len(d)])) for d in held])
     truth = y[out].astype(float)
     a, b = calibrate(z, truth)

@@ -629,3 +629,30 @@ def test_few_findings_are_enough_to_score(spark):
     schema = secrets.arrow_schema(spark.createDataFrame([], secrets.FOUND).schema)
     fits = lambda df: secrets.fit_network(df.mapInArrow(lambda bs: (secrets._find(b, schema) for b in bs if b.num_rows), secrets.FOUND))
     assert fits(found) is not None and fits(found.filter("doc_id >= 10")) is None
+
+
+def test_rows_without_an_id(spark):
+    """Each operator's defined result for rows without a doc_id, beside ones that have it, in repeated and empty texts too."""
+    rng = random.Random(31)
+    text = lambda k: " ".join(f"w{rng.randint(0, 400)}" for _ in range(k))
+    one, two = text(60), text(70)
+    rows = [(1, one), (2, two), (None, one), (None, two + " more"), (None, text(50)), (None, None), (None, ""), (None, "x token = abcdefghijklmnop1234")]
+    df = spark.createDataFrame([(i, t, "en", None if k % 2 else "s", 0) for k, (i, t) in enumerate(rows)], SCHEMA)
+    n, none = len(rows), sum(i is None for i, _ in rows)
+    bench = spark.createDataFrame([(9, one)], "item_id long, text string")
+    assert sorted(str(r.doc_id) for r in decontaminate.find_leaks(df, bench).collect()) == ["1", "None"] and decontaminate.drop_leaks(df, bench).count() == n - 2
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.score(df, toxicity.train_scorer(df, labels)).filter("doc_id IS NULL").count() == none
+    mixed = mixing.mix(df, mixing.cycled_weights(df)).collect()
+    assert len(mixed) == n and all(r.taken in (0, r.size, 2 * r.size) for r in mixed)
+    near = near_dedup.near_duplicates(df).collect()
+    assert len(near) == n and not any(r.kept for r in near if r.doc_id is None)
+    assert sorted(str(r.component_id) for r in near) == ["1", "1", "2", *["None"] * 5]  # a set that no row with an id has is linked to nothing
+    removed = substring_dedup.remove_repeats(df).collect()
+    assert len(removed) == n and all(r.n_removed == 0 for r in removed if r.doc_id is None)
+    assert quality.classify(df).count() == n and langid.identify(df, df, F.lit(False)).count() == n
+    assert sharding.placement(sharding.shard(df)).filter("doc_id IS NULL").count() == none
+    exact = exact_dedup.exact_dedup(df).collect()
+    assert len(exact) == n and not any(r.kept for r in exact if r.doc_id is None)
+    assert sorted((str(r.keep_id), r.group_size) for r in exact) == sorted([("1", 2), ("1", 2), ("2", 1), ("None", 1), ("None", 1), ("None", 1), ("None", 2), ("None", 2)])
+    assert sum(r.n_assign for r in secrets.find_secrets(df).collect()) == 1
