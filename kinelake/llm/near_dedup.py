@@ -5,8 +5,8 @@ several orders of the signatures, each starting at another place of them,
 range-partitioned and sorted; a set's candidates are the neighbours with the
 longest common prefix. How deep a prefix must be adapts to the region:
 
-* Where few sets share a value, neighbours that share one or two are
-  candidates already, if the low bits of their signatures agree.
+* Where few sets share one or two values, all of them are neighbours, and
+  candidates if the low bits of their signatures agree.
 * Sets that share three values always are.
 * Regions of many sets are cut at deeper prefixes, into pieces of a bounded
   size, first. What the cuts part meets again: all against all in pieces up to
@@ -342,38 +342,55 @@ def _cut(t: pa.Table, schema: pa.Schema):
     place = np.cumsum(size) // MOST_SHINGLES * (1 << 20) + np.arange(n) // MOST_SETS
     piece[open_] = (1 << 48) + place[open_]
     piece = mix(piece.astype(np.uint64) * np.uint64(0x510E527FADE682D1) ^ member[0])
-    own = (count[run] > 1) | at_end
-    known = ~at_end
+    # Depth falls in sparse regions: neighbours are linked by any common prefix, if their low bits agree.
+    shallow = [runs(d)[1][runs(d)[0]] <= SPARSE for d in range(1, DEPTH)]
+    sparse = np.logical_or.reduce(shallow)
+    longest, pairs = common, [np.stack([i := np.flatnonzero((common >= DEPTH) & sparse), i - 1], 1)]
+    for k in range(1, SPARSE):
+        longest = np.minimum(longest[:-1], common[k:]) if k > 1 else common[1:]
+        i = np.flatnonzero((longest > 0) & (longest < DEPTH))
+        near = np.zeros(len(i), bool)
+        for d in range(1, DEPTH):
+            near |= (longest[i] >= d) & shallow[d - 1][i]
+        i = i[near]
+        pairs.append(np.stack([i, i + k], 1)[np.bitwise_count(bits[i] ^ bits[i + k]) <= VALUES - LEAST_BITS])
+        if not (longest > 0).any():
+            break
+    label = _smallest(n, np.concatenate(pairs))
+    _, group, group_n = np.unique(label, return_inverse=True, return_counts=True)
+    group_s = np.bincount(group, size).astype(np.int64)
+    sums = np.zeros(len(group_n), np.uint64)
+    np.add.at(sums, group, member)
+    group_id = mix(sums + group_n.astype(np.uint64))
 
     def rows(pick, bucket, n_sets, total, known, piece):
-        column = lambda x: pa.array(x, pa.int64(), mask=None if known is None else ~known)
+        column = lambda x: pa.array(x, pa.int64(), mask=~known)
         return pa.RecordBatch.from_arrays(
             [pa.array(bucket.view(np.int64)), ids.take(pa.array(pick)), pa.array(size[pick]), column(n_sets), column(total), pa.array(piece.view(np.int64))], schema=schema
         )
 
-    pick = np.flatnonzero(own)
+    pick = np.flatnonzero(((count[run] > 1) & ~sparse) | at_end)
     if len(pick):
-        yield rows(pick, bucket[pick], count[run][pick], weight[run][pick].astype(np.int64), known[pick], piece[pick])
-    # Depth falls in sparse regions: neighbours by their longest common prefix.
-    sparse = [runs(d)[1][runs(d)[0]] <= SPARSE for d in range(1, DEPTH)]
-    longest, pairs = common.copy(), []
-    for k in range(1, SPARSE):
-        longest = np.minimum(longest[:-1], common[k:]) if k > 1 else common[1:]
-        i = np.flatnonzero((longest > 0) & (longest < DEPTH))
-        if not len(i) and not (longest > 0).any():
+        yield rows(pick, bucket[pick], count[run][pick], weight[run][pick].astype(np.int64), ~at_end[pick], piece[pick])
+    pick = np.flatnonzero(sparse & (group_n[group] > 1))
+    if len(pick):
+        own = group[pick]
+        yield rows(pick, group_id[own], group_n[own], group_s[own], np.ones(len(pick), bool), group_id[own])
+
+
+def _smallest(n: int, pairs: np.ndarray) -> np.ndarray:
+    """The smallest row that each of ``n`` rows is linked to by pairs."""
+    label = np.arange(n)
+    while len(pairs):
+        least = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, pairs[:, 0], least)
+        np.minimum.at(new, pairs[:, 1], least)
+        new = new[new]
+        if (new == label).all():
             break
-        near = np.zeros(len(i), bool)
-        for d in range(1, DEPTH):
-            near |= (longest[i] >= d) & sparse[d - 1][i]
-        i = i[near]
-        pairs.append(np.stack([i, i + k], 1)[np.bitwise_count(bits[i] ^ bits[i + k]) <= VALUES - LEAST_BITS])
-    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    if len(pairs):
-        both = mix(member[pairs].sum(1, dtype=np.uint64) + np.uint64(2))
-        total = size[pairs].sum(1)
-        twice = lambda x: np.repeat(x, 2)
-        pick = pairs.ravel()
-        yield rows(pick, twice(both), np.full(len(pick), 2), twice(total), None, twice(both))
+        label = new
+    return label
 
 
 def _forest(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
