@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, langid, mixing, near_dedup, prefix_trie, quality, secrets, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_secret_scans": secrets.op10_secret_scans,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
 }
-ORACLES = {"op3_mixing": mixing.ORACLE, "op7_sharding": sharding.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op3_mixing": mixing.ORACLE, "op7_sharding": sharding.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
