@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, mixing, near_dedup, prefix_trie, quality, secrets, sharding, substring_dedup, toxicity
+from . import decontaminate, exact_dedup, hard_negatives, langid, mixing, near_dedup, prefix_trie, quality, quality_rules, secrets, sharding, substring_dedup, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,5 +16,10 @@ QUERIES = {
     "op9_language_id": langid.op9_language_id,
     "op10_secret_scans": secrets.op10_secret_scans,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_quality_rules": quality_rules.op12_quality_rules,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
+}
+ORACLES = {
+    "op3_mixing": mixing.ORACLE, "op7_sharding": sharding.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_quality_rules": quality_rules.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE,
 }
-ORACLES = {"op3_mixing": mixing.ORACLE, "op7_sharding": sharding.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
