@@ -5,9 +5,10 @@ and their values at the two ends of the frame, as window functions, so their
 cost does not depend on the width; a series is centred on its mean first,
 against cancellation. Where spreads, extremes, medians, ranks, correlations or
 slopes are among the aggregates, one grouped Arrow function computes all of
-them in numpy from sliding views of the trajectory, in blocks of bounded size:
-one pass for any number of aggregates, where window functions would need a
-frame of their own for each. Both share the trajectory's exchange and sort.
+them in numpy: one pass for any number of aggregates, where window functions
+would need a frame of their own for each. Extremes, medians and ranks cost the
+same for any width (``order_statistics``); the others come from sliding views,
+in blocks of bounded size. Both share the trajectory's exchange and sort.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .order_statistics import sliding_extreme, sliding_ranks
+
 SUMS = ("mean", "sum", "count")
 #: Values of a sliding view that are worked on at once.
 BLOCK = 1 << 21
@@ -144,6 +147,16 @@ def aggregates(rolls: dict[str, Roll], get: Callable[[str], np.ndarray], n: int)
         frames.setdefault((r.series, r.lo, r.hi), []).append(name)
     for (series, lo, hi), names in frames.items():
         width = hi - lo + 1
+        whole = [k for k in names if rolls[k].kind in WHOLE]
+        names = [k for k in names if rolls[k].kind not in WHOLE]
+        if whole:
+            own = np.concatenate([np.full(-lo, np.nan), get(series), np.full(hi, np.nan)])
+            seen = np.concatenate([[0], np.cumsum(~np.isnan(own))])
+            for name in whole:
+                r = rolls[name]
+                out[name] = np.where(seen[width:] - seen[:-width] >= r.least, WHOLE[r.kind](own, width, -lo), np.nan)
+        if not names:
+            continue
         padded = {s: np.concatenate([np.full(-lo, np.nan), get(s), np.full(hi, np.nan)]) for s in {series, *(rolls[k].other for k in names if rolls[k].other)}}
         seen = np.concatenate([[0], np.cumsum(~np.isnan(padded[series]))])
         count, now = seen[width:] - seen[:-width], padded[series][-lo : len(padded[series]) - hi]
@@ -168,17 +181,6 @@ def _var(v, c, *_):
     return np.where(c > 1, np.nansum((v - m[:, None]) ** 2, 1) / (c - 1), np.nan)
 
 
-def _median(v, c, *_):
-    ordered, row = np.sort(v, axis=1), np.arange(len(v))  # gaps come last
-    low = ordered[row, np.maximum(c - 1, 0) // 2]
-    return low + (ordered[row, np.minimum(c // 2, v.shape[1] - 1)] - low) / 2
-
-
-def _rank(v, c, now, _):
-    """Average rank of the frame's own row among its values, as a share of their count."""
-    return np.where(np.isnan(now), np.nan, ((v < now[:, None]).sum(1) + ((v == now[:, None]).sum(1) + 1) / 2) / c)
-
-
 def _correlation(v, c, now, other):
     """Pearson's, over the rows that have both values; none where either is constant."""
     both = ~(np.isnan(v) | np.isnan(other))
@@ -201,8 +203,12 @@ def _slope(v, c, *_):
 #: By kind: (frames' values, how many there are, each frame's own row, another series' frames).
 KINDS: dict[str, Callable] = {
     "mean": lambda v, c, *_: _mean(v, c), "sum": lambda v, c, *_: np.nansum(v, 1), "count": lambda v, c, *_: c.astype(float),
-    "var": _var, "std": lambda v, c, *_: np.sqrt(_var(v, c)), "min": lambda v, c, *_: np.fmin.reduce(v, 1), "max": lambda v, c, *_: np.fmax.reduce(v, 1),
-    "median": _median, "rank": _rank, "corr": _correlation, "slope": _slope,
+    "var": _var, "std": lambda v, c, *_: np.sqrt(_var(v, c)), "corr": _correlation, "slope": _slope,
+}
+#: By kind: (the padded series, width, rows from a frame's start to its own row), all frames at once.
+WHOLE: dict[str, Callable] = {
+    "min": lambda x, width, _: sliding_extreme(x, width, np.fmin), "max": lambda x, width, _: sliding_extreme(x, width, np.fmax),
+    "median": lambda x, width, back: sliding_ranks(x, width, back, True), "rank": lambda x, width, back: sliding_ranks(x, width, back, False),
 }
 
 
