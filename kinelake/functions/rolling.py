@@ -7,7 +7,7 @@ against cancellation. Where spreads, extremes, medians, ranks, correlations or
 slopes are among the aggregates, one grouped Arrow function computes all of
 them in numpy: one pass for any number of aggregates, where window functions
 would need a frame of their own for each. Extremes, medians and ranks cost the
-same for any width (``order_statistics``); the others come from sliding views,
+same for any width (``order_statistics``), as do means; the others come from sliding views,
 in blocks of bounded size. Both share the trajectory's exchange and sort.
 """
 
@@ -17,6 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -130,7 +131,9 @@ class Track:
         df = self.df.select(*(F.col(f"`{c}`") for c in self.df.columns if c not in new))
 
         def slide(t: pa.Table) -> pa.Table:
-            t = t.take(pa.array(np.argsort(t.column(order).to_numpy(), kind="stable")))
+            at = t.column(order).to_numpy()
+            if (np.diff(at) < 0).any():
+                t = t.take(pa.array(np.argsort(at, kind="stable")))
             get = lambda name: t.column(name).cast(pa.float64()).to_numpy(zero_copy_only=False)
             for name, values in aggregates(rolls, get, t.num_rows).items():
                 t = t.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
@@ -139,6 +142,65 @@ class Track:
         return self.on(df.groupBy(*self.keys).applyInArrow(slide, StructType([*df.schema.fields, *more])))
 
 
+class Steps(Track):
+    """A Track that notes what is added to it instead of adding it."""
+
+    def __init__(self, track: Track):
+        super().__init__(track.df, track.keys, track.fps, track.order)
+        object.__setattr__(self, "phases", [([], {}, False)])
+
+    def add(self, columns: dict[str, Column]) -> "Steps":
+        self.phases[-1][0].append(columns)
+        return self
+
+    def roll(self, rolls: dict[str, Roll], length: bool = False) -> "Steps":
+        layers, before, long = self.phases[-1]
+        self.phases[-1] = (layers, before | rolls, long or length)
+        self.phases.append(([], {}, False))
+        return self
+
+
+def together(track: Track, groups: list[Callable[[Track], Track]]) -> Track:
+    """All groups of features at once: their first rolls in one function on one exchange, then their second ones, and so on.
+
+    A group sees only its own columns and those of ``track``. A name that two
+    groups give must mean the same in both.
+    """
+    noted = []
+    for group in groups:
+        steps = Steps(track)
+        group(steps)
+        noted.append(steps.phases)
+    given: dict[str, tuple[int, str]] = {}
+
+    def new(columns: dict, who: int) -> dict:
+        out = {}
+        for name, c in columns.items():
+            means = str(c)
+            owner, known = given.get(name, (who, None))
+            if known == means:
+                continue
+            if owner != who:
+                raise ValueError(f"two groups give {name} a different meaning")
+            given[name], out[name] = (who, means), c
+        return out
+
+    for phase in range(max(map(len, noted), default=0)):
+        now = [(who, p[phase]) for who, p in enumerate(noted) if phase < len(p)]
+        for layer in range(max(len(p[0]) for _, p in now)):
+            columns: dict[str, Column] = {}
+            for who, p in now:
+                if layer < len(p[0]):
+                    columns |= new(p[0][layer], who)
+            track = track.add(columns) if columns else track
+        rolls: dict[str, Roll] = {}
+        for who, p in now:
+            rolls |= new(p[1], who)
+        if rolls:
+            track = track.roll(rolls, any(p[2] for _, p in now))
+    return track
+
+
 def aggregates(rolls: dict[str, Roll], get: Callable[[str], np.ndarray], n: int) -> dict[str, np.ndarray]:
     """Each roll's values over a trajectory of ``n`` rows in order; gaps are NaN."""
     out = {name: np.full(n, np.nan) for name in rolls}
@@ -172,6 +234,23 @@ def aggregates(rolls: dict[str, Roll], get: Callable[[str], np.ndarray], n: int)
     return out
 
 
+def _counts(x: np.ndarray, width: int) -> np.ndarray:
+    seen = np.concatenate([[0], np.cumsum(~np.isnan(x))])
+    return seen[width:] - seen[:-width]
+
+
+def _sums(x: np.ndarray, width: int, mean: bool) -> np.ndarray:
+    """Sums or means of all frames from running sums, the series being centred against cancellation."""
+    known = ~np.isnan(x)
+    if not known.any():
+        return np.full(len(x) - width + 1, np.nan if mean else 0.0)
+    middle = x[known].mean()
+    total = np.concatenate([[0.0], np.cumsum(np.where(known, x - middle, 0.0))])
+    out, n = total[width:] - total[:-width], _counts(x, width)
+    with np.errstate(all="ignore"):
+        return out / n + middle if mean else out + n * middle
+
+
 def _mean(v, c):
     return np.nansum(v, 1) / c
 
@@ -202,11 +281,12 @@ def _slope(v, c, *_):
 
 #: By kind: (frames' values, how many there are, each frame's own row, another series' frames).
 KINDS: dict[str, Callable] = {
-    "mean": lambda v, c, *_: _mean(v, c), "sum": lambda v, c, *_: np.nansum(v, 1), "count": lambda v, c, *_: c.astype(float),
     "var": _var, "std": lambda v, c, *_: np.sqrt(_var(v, c)), "corr": _correlation, "slope": _slope,
 }
 #: By kind: (the padded series, width, rows from a frame's start to its own row), all frames at once.
 WHOLE: dict[str, Callable] = {
+    "mean": lambda x, width, _: _sums(x, width, True), "sum": lambda x, width, _: _sums(x, width, False), "count": lambda x, width, _: _counts(x, width).astype(float),
+    "ewm": lambda x, width, back: pd.Series(x[back:]).ewm(span=width, min_periods=1).mean().to_numpy(),
     "min": lambda x, width, _: sliding_extreme(x, width, np.fmin), "max": lambda x, width, _: sliding_extreme(x, width, np.fmax),
     "median": lambda x, width, back: sliding_ranks(x, width, back, True), "rank": lambda x, width, back: sliding_ranks(x, width, back, False),
 }

@@ -127,10 +127,18 @@ def long_range(track: Track) -> Track:
     return track.add({n: track.long_enough(ws, F.col(n)) for n, ws in widths.items()})
 
 
+def smoothing_spans(fps: float) -> dict[str, tuple[str, int]]:
+    return {f"{a}_e{s}": (f"body_center_{a}", scale(s, fps)) for s in (15, 30, 60, 120, 240) for a in "xy"}
+
+
 def smoothed_position(track: Track):
     """Exponentially weighted means of the position, as a table by key and frame."""
-    spans = {f"{a}_e{s}": (f"body_center_{a}", scale(s, track.fps)) for s in (15, 30, 60, 120, 240) for a in "xy"}
-    return ewm(track, spans)
+    return ewm(track, smoothing_spans(track.fps))
+
+
+def smoothing(track: Track) -> Track:
+    """The same as columns; a mean has all earlier values, so its frame has no least number of them."""
+    return track.roll({n: trailing(c, "ewm", span, 0) for n, (c, span) in smoothing_spans(track.fps).items()})
 
 
 def path_length(track: Track) -> Track:
