@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -63,7 +64,7 @@ class Track:
     fps: float = 30.0
     order: str = "video_frame"
 
-    @property
+    @cached_property
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(self.order)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import quoted_list
@@ -28,10 +28,18 @@ def validate(solution: DataFrame, submission: DataFrame) -> None:
             raise ValueError(f"{name} has intervals that end before they start")
 
 
-def _frames(intervals: DataFrame, *keys: str) -> DataFrame:
-    """Each frame of half-open intervals once."""
+def _levels(intervals: DataFrame, keys: list[str], counts: tuple[str, ...]) -> DataFrame:
+    """(keys, frame, until, counts): between two neighbouring bounds of half-open intervals, how many of each kind are open.
+
+    A sweep over bounds: an interval is +1 at its start and -1 at its stop in
+    the columns it has as 1, and running sums tell the rest. The work grows with
+    the number of intervals, not of frames.
+    """
     some = intervals.filter("stop_frame > start_frame")
-    return some.select(*keys, F.explode(F.sequence(F.col("start_frame"), F.col("stop_frame") - 1)).alias("frame")).distinct()
+    bound = F.explode(F.array(F.struct(F.col("start_frame").alias("frame"), F.lit(1).alias("d")), F.struct(F.col("stop_frame").alias("frame"), F.lit(-1).alias("d"))))
+    bounds = some.select(*keys, *counts, bound.alias("b")).groupBy(*keys, F.col("b.frame").alias("frame")).agg(*(F.sum(F.col(c) * F.col("b.d")).alias(c) for c in counts))
+    w = Window.partitionBy(*keys).orderBy("frame")
+    return bounds.select(*keys, "frame", F.lead("frame").over(w).alias("until"), *(F.sum(c).over(w).alias(c) for c in counts))
 
 
 def _text(df: DataFrame) -> DataFrame:
@@ -47,25 +55,26 @@ def active_predictions(solution: DataFrame, submission: DataFrame) -> DataFrame:
 
 
 def check_overlap(predictions: DataFrame) -> None:
-    frames = _frames(predictions, *KEYS)
-    twice = frames.groupBy("lab_id", "video_id", "agent_id", "target_id", "frame").count().filter("count > 1")
-    if not twice.isEmpty():
+    """Raise if two actions hold in one frame of a pair. Intervals of one action may overlap."""
+    levels = _levels(predictions.withColumn("p", F.lit(1)), KEYS, ("p",)).filter("p > 0")
+    several = _levels(levels.withColumnsRenamed({"frame": "start_frame", "until": "stop_frame"}).withColumn("p", F.lit(1)), KEYS[:-1], ("p",))
+    if not several.filter("p > 1").isEmpty():
         raise OverlapError("several actions predicted for one frame of a pair")
 
 
 def action_scores(solution: DataFrame, submission: DataFrame, beta: float = 1.0, truncate: bool = True) -> DataFrame:
     """(lab_id, action, tp, fn, fp, f): frame counts per action of a lab.
 
-    Frames meet in one full join on key and frame. An action only ever
+    Frames are counted between the bounds of intervals. An action only ever
     predicted, while active, scores 0 and counts; with ``truncate`` actions
     are merged by what follows their last '_'. 0/0 is 0.
     """
-    truth = _frames(_text(solution).select(*KEYS, "start_frame", "stop_frame"), *KEYS).withColumn("t", F.lit(1))
+    truth = _text(solution).select(*KEYS, "start_frame", "stop_frame", F.lit(1).alias("t"), F.lit(0).alias("p"))
     guess = active_predictions(solution, submission)
-    both = truth.join(_frames(guess, *KEYS).withColumn("p", F.lit(1)), [*KEYS, "frame"], "full")
+    both = _levels(truth.unionByName(guess.withColumns({"t": F.lit(0), "p": F.lit(1)})), KEYS, ("t", "p"))
     name = F.substring_index("action", "_", -1) if truncate else F.col("action")
-    n = lambda a, b: F.count_if(a & b)
-    t, p = F.col("t").isNotNull(), F.col("p").isNotNull()
+    n = lambda a, b: F.coalesce(F.sum(F.when(a & b, (F.col("until") - F.col("frame")).cast("long"))), F.lit(0))
+    t, p = F.col("t") > 0, F.col("p") > 0
     counts = both.groupBy("lab_id", name.alias("action")).agg(n(t, p).alias("tp"), n(t, ~p).alias("fn"), n(~t, p).alias("fp"))
     # Labelled or predicted with no frame at all: an action that counts, with 0.
     named = _text(solution).select("lab_id", name.alias("action")).union(guess.select("lab_id", name.alias("action"))).distinct()

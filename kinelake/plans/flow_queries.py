@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import Track
 from ..functions.scalars import slug, trailing_number
-from ..operators import decode, labels, learning, metric, pose, single
+from ..operators import boosting, decode, labels, learning, metric, pose, single
 from ..sources import readers, sinks
 from . import behaviour
 from .oracle import out
@@ -336,7 +336,7 @@ def tile_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.tiles(spans).drop("target_id")
 
 
-_FILL_SQL = f"""WITH kept AS (SELECT video_id, CAST(agent_id AS VARCHAR) AS agent_id, CAST(target_id AS VARCHAR) AS target_id, action, start_frame, stop_frame FROM (SELECT * REPLACE (CASE WHEN video_id % 2 = 0 THEN stop_frame ELSE start_frame END AS stop_frame) FROM pred_raw) WHERE start_frame < stop_frame),
+_FILL_SQL = f"""WITH kept AS (SELECT video_id, CAST(agent_id AS VARCHAR) AS agent_id, CAST(target_id AS VARCHAR) AS target_id, action, start_frame, stop_frame FROM pred_raw WHERE start_frame < stop_frame AND video_id NOT IN (SELECT video_id FROM metadata WHERE {_SLEEP})),
 l AS (SELECT DISTINCT video_id, replace(unnest(CAST(CAST(behaviors_labeled AS JSON) AS VARCHAR[])), '''', '') AS l FROM metadata WHERE behaviors_labeled IS NOT NULL AND video_id NOT IN (SELECT video_id FROM kept)),
 g AS (SELECT video_id, split_part(l, ',', 1) AS agent_id, split_part(l, ',', 2) AS target_id, list(split_part(l, ',', 3) ORDER BY l) AS actions FROM l GROUP BY ALL),
 x AS (SELECT g.*, lo, hi, CAST(ceil((hi - lo) / CAST(len(actions) AS DOUBLE)) AS BIGINT) AS size, unnest(range(len(actions))) AS i FROM g JOIN (SELECT video_id, min(video_frame) AS lo, max(video_frame) + 1 AS hi FROM frames GROUP BY video_id) r ON g.video_id = r.video_id)
@@ -345,9 +345,9 @@ SELECT * FROM kept UNION ALL SELECT video_id, agent_id, target_id, actions[i + 1
 
 @query("fill_missing_videos", _FILL_SQL)
 def fill_missing_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The predictions of odd videos end where they start, so these videos have none that is valid.
-    ends = F.when(F.col("video_id") % 2 == 0, F.col("stop_frame")).otherwise(F.col("start_frame"))
-    some = decode.valid(view(spark, sf_dir, "pred_raw").withColumn("stop_frame", ends))
+    # Recordings of sleep are not predicted.
+    asleep = view(spark, sf_dir, "metadata").filter(pose.is_sleeping()).select("video_id")
+    some = decode.valid(view(spark, sf_dir, "pred_raw")).join(asleep, "video_id", "left_anti")
     return decode.fill_missing(some, view(spark, sf_dir, "metadata"), decode.frame_ranges(view(spark, sf_dir, "frames")))
 
 
@@ -432,8 +432,13 @@ def stratified_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.stratified_subset(_scored(spark, sf_dir), "doc_id", _TOTAL).select("doc_id", "y")
 
 
-@query("group_folds", f"""SELECT action, n, CAST(CASE WHEN (i // 5) % 2 = 0 THEN i % 5 ELSE 4 - i % 5 END AS INT) AS fold FROM
- (SELECT action, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, action) - 1 AS i FROM {_SCORED} GROUP BY action)""")
+_GREEDY_FOLDS = """sized AS (SELECT action, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, action) AS i FROM {rows} GROUP BY action),
+dealt AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS action, CAST(0 AS BIGINT) AS n, 0 AS fold, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS loads
+UNION ALL SELECT s.i, CAST(s.action AS VARCHAR), s.n, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER), list_transform(loads, lambda l, j: CASE WHEN j = list_position(loads, list_min(loads)) THEN l + s.n ELSE l END)
+FROM dealt d JOIN sized s ON s.i = d.i + 1)"""
+
+
+@query("group_folds", f"WITH RECURSIVE {_GREEDY_FOLDS.format(rows=_SCORED)} SELECT action, n, CAST(fold AS INT) AS fold FROM dealt WHERE i > 0")
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.group_folds(_scored(spark, sf_dir), "action", 5)
 
@@ -452,25 +457,27 @@ def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIM = 64
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    e = view(spark, sf_dir, "embeddings")
-    cols = [f"f{i}" for i in range(_DIM)]
-    return e.select("vec_id", F.col("label").alias("g"), (F.col("label") % 2).cast("int").alias("y"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols))), cols
-
-
 @query("model_ensemble", None)
 def model_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold probabilities of every vector, from all its values; folds keep rows of one id together."""
-    rows, cols = _vectors(spark, sf_dir)
-    return learning.cross_validated(rows, cols, "vec_id", ["vec_id"], 3, 12)
+    """Out-of-fold probabilities of two labels of every vector, from all its values, fitted side by side."""
+    e, write = view(spark, sf_dir, "embeddings"), sinks.scratch_writer(spark, "ensemble")
+    rows = write(e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(_DIM))))
+    painted = rows.select("vec_id", F.explode(F.array(F.struct(F.lit("odd").alias("action"), (F.col("label") % 2 == 1).alias("y")), F.struct(F.lit("low"), F.col("label") < 5))).alias("l")).select("vec_id", "l.*")
+    settings = boosting.Settings(12, depth=4)
+    oof = behaviour.cross_validated(rows.drop("label"), painted, ["vec_id"], ["low", "odd"], "vec_id", settings, 3, boosting.MOST_ROWS, write)
+    return oof.select(F.col("key").cast("long").alias("vec_id"), "action", "y", "p")
 
 
-@query("out_of_fold", "SELECT vec_id, CAST(label % 2 AS INT) AS y, 1 AS n, TRUE AS between_0_and_1 FROM embeddings")
+@query("out_of_fold", """SELECT p_partkey, action, CAST(y AS INT) AS y, y AS said FROM (SELECT p_partkey, 'large' AS action, p_size >= 26 AS y FROM part UNION ALL SELECT p_partkey, 'middle', p_size BETWEEN 11 AND 30 FROM part)""")
 def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row is scored once, by models that did not see it: what SQL can tell of the probabilities."""
-    rows, cols = _vectors(spark, sf_dir)
-    oof = learning.cross_validated(rows, cols, "vec_id", ["vec_id"], 2, 2)
-    return oof.groupBy("vec_id", "y").agg(F.count(F.lit(1)).cast("int").alias("n"), F.bool_and((F.col("p") >= 0) & (F.col("p") <= 1)).alias("between_0_and_1"))
+    """Labels that a few splits tell: every part's label is said by a fit that never saw its brand. One row for each part and label."""
+    parts, write, size = view(spark, sf_dir, "part"), sinks.scratch_writer(spark, "folds"), F.col("p_size")
+    rows = write(parts.select("p_partkey", "p_brand", "p_size", "p_retailprice"))
+    each = F.explode(F.array(F.struct(F.lit("large").alias("action"), (size >= 26).alias("y")), F.struct(F.lit("middle"), size.between(11, 30))))
+    painted = rows.select("p_partkey", "p_brand", each.alias("l")).select("p_partkey", "p_brand", "l.*")
+    settings = boosting.Settings(12, 0.5, 3, least_weight=1.0, rows=1.0, columns=1.0)
+    oof = behaviour.cross_validated(rows.drop("p_brand"), painted, ["p_partkey"], ["large", "middle"], "p_brand", settings, 5, boosting.MOST_ROWS, write)
+    return oof.select(F.col("key").cast("long").alias("p_partkey"), "action", "y", (F.col("p") >= 0.5).alias("said"))
 
 
 # Sources and sinks: what is written comes back.
@@ -479,21 +486,15 @@ _META = ["video_id", "lab_id", "frames_per_second", "arena_width_cm", "arena_hei
 
 @query("scan_metadata", f"SELECT {', '.join(f'trim({c}) AS {c}' if c in ('arena_shape', 'mouse1_strain', 'mouse1_sex') else c for c in _META)}, CAST(NULL AS VARCHAR) AS mouse4_sex FROM metadata")
 def scan_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = sinks.scratch_folder(spark, "metadata")
+    path = sinks.scratch_folder(spark, "metadata") + "/csv"
     view(spark, sf_dir, "metadata").select(*_META).write.option("header", True).option("escape", '"').csv(path)
     return readers.read_metadata(spark, path).select(*_META, "mouse4_sex").withColumns({c: F.trim(c) for c in ("arena_shape", "mouse1_strain", "mouse1_sex")})
 
 
 def _by_video(rows: DataFrame, path: str) -> str:
-    """Write one folder a video, <lab>/<video>.parquet: a rename for each of them, a few hundred here."""
-    spark = rows.sparkSession
-    rows.write.partitionBy("lab_id", "video_id").parquet(path)
-    for r in rows.select("lab_id", "video_id").distinct().collect():
-        old, new = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{p}") for p in (f"lab_id={r.lab_id}/video_id={r.video_id}", f"{r.lab_id}/{r.video_id}.parquet"))
-        fs = old.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        fs.mkdirs(new.getParent())
-        fs.rename(old, new)
-    return path
+    """Write a partition of each lab and video."""
+    rows.write.partitionBy("lab_id", "video_id").parquet(path + "/files")
+    return path + "/files"
 
 
 def _labs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,7 +517,7 @@ def scan_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
  (SELECT *, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2 * tp + fp + fn) END AS f FROM ({_GRID})) GROUP BY action""")
 def threshold_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tuned thresholds, saved for two switches and loaded for one."""
-    path, best = sinks.scratch_folder(spark, "thresholds"), learning.best_thresholds(learning.threshold_grid(_scored(spark, sf_dir)))
+    path, best = sinks.scratch_folder(spark, "thresholds") + "/store", learning.best_thresholds(learning.threshold_grid(_scored(spark, sf_dir)))
     for switch, t in (("pair", F.col("threshold")), ("single", F.lit(2.0)), ("pair", F.col("threshold"))):
         sinks.save_thresholds(best.select(F.lit("s").alias("section_slug"), F.lit(switch).alias("switch"), "action", t.alias("threshold")), path)
     return spark.createDataFrame(list(sinks.load_thresholds(spark, path, "s", "pair").items()), "action STRING, threshold DOUBLE")

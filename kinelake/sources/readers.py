@@ -21,9 +21,10 @@ def read_metadata(spark: SparkSession, path: str, schema: str = METADATA) -> Dat
 
 
 def _with_ids(rows: DataFrame) -> DataFrame:
-    """Lab and video from the path, <lab>/<video>.parquet, a file or a folder of files."""
-    path, form = F.col("_metadata.file_path"), r"([^/]+)/(\d+)\.parquet(?:/[^/]+)?$"
-    return rows.select("*", F.url_decode(F.regexp_extract(path, form, 1)).alias("lab_id"), F.regexp_extract(path, form, 2).cast("long").alias("video_id"))
+    """Lab and video from the path: <lab>/<video>.parquet, a file or a folder of files, or partitions lab_id=<lab>/video_id=<video>."""
+    path = F.col("_metadata.file_path")
+    of = lambda i: F.coalesce(*(F.nullif(F.regexp_extract(path, form, i), F.lit("")) for form in (r"lab_id=([^/]+)/video_id=(\d+)/[^/]+$", r"([^/]+)/(\d+)\.parquet(?:/[^/]+)?$")))
+    return rows.select("*", F.url_decode(of(1)).alias("lab_id"), of(2).cast("long").alias("video_id"))
 
 
 def read_tracking(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import boosting
+
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in spark.checkpoint.dir, which all machines share; in local mode a temporary one where that is unset."""
+    """A new folder in spark.checkpoint.dir, which all machines share, deleted when the application ends; in local mode a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-kinelake-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    found = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, path = _path(spark, found)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return found
 
 
 def with_row_id(df: DataFrame, order: list[str]) -> DataFrame:
@@ -48,22 +57,47 @@ def load_thresholds(spark: SparkSession, path: str, section_slug: str, switch: s
     return {r.action: r.threshold for r in rows.select("action", "threshold").collect()}
 
 
-def save_models(spark: SparkSession, models: dict[str, list], features: list[str], path: str) -> None:
-    """Fitted pipelines of each action, and the order of their features."""
-    for action, fitted in models.items():
-        for i, m in enumerate(fitted):
-            m.write().overwrite().save(f"{path}/{action}/{i}")
-    rows = [(a, len(m)) for a, m in models.items()]
-    spark.createDataFrame(rows, "action STRING, n INT").coalesce(1).write.mode("overwrite").parquet(f"{path}/_index")
-    spark.createDataFrame([(i, f) for i, f in enumerate(features)], "at INT, feature STRING").coalesce(1).write.mode("overwrite").parquet(f"{path}/_features")
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def has_models(spark: SparkSession, path: str) -> bool:
+    fs, at = _path(spark, f"{path}/_SUCCESS")
+    return fs.exists(at)
+
+
+def save_models(spark: SparkSession, models: dict[str, list], columns: list[str], path: str) -> None:
+    """The nodes of all trees of each action's forests, and the names of their features: one table, moved into place when it is whole."""
+    nodes = boosting.as_rows(models)
+    named = pd.DataFrame({"feature": range(len(columns)), "name": columns})
+    rows = pd.concat([nodes.assign(name=None), named])[[c.split()[0] for c in (boosting.NODES + ", name STRING").split(", ")]]
+    rows = rows.astype({c: "Int32" for c in ("model", "tree", "node", "feature", "left", "right")}).astype(object).where(rows.notna(), None)
+    new = f"{path}-{uuid.uuid4().hex}"
+    spark.createDataFrame(rows.values.tolist(), boosting.NODES + ", name STRING").coalesce(1).write.parquet(new)
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
+    if not fs.rename(_path(spark, new)[1], at):
+        raise OSError(f"could not move the models to {path}")
 
 
 def load_models(spark: SparkSession, path: str) -> tuple[dict[str, list], list[str]]:
-    from pyspark.ml import PipelineModel
+    """Forests by action, and the features they were fitted on, in order. A model's nodes are read to the driver, as they are sent to every task."""
+    rows = spark.read.parquet(path).toPandas()
+    named = rows[rows["name"].notna()].sort_values("feature")
+    return boosting.from_rows(rows[rows["name"].isna()]), named["name"].tolist()
+
+
+def scratch_writer(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
+    """Stores tables in new scratch folders, which are deleted when the application ends."""
+    root, numbers = scratch_folder(spark, name), itertools.count()
+
+    def write(rows: DataFrame) -> DataFrame:
+        path = f"{root}/{next(numbers)}"
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
 
-    index = spark.read.parquet(f"{path}/_index").collect()
-    features = [r.feature for r in spark.read.parquet(f"{path}/_features").orderBy("at").collect()]
-    return {r.action: [PipelineModel.load(f"{path}/{r.action}/{i}") for i in range(r.n)] for r in index}, features
+    return write
 
 
 def log_non_finite(report: DataFrame, context: str, path: str) -> None:

@@ -1,13 +1,16 @@
 """The whole way from poses to intervals on a small recording."""
 
 import random
+import shutil
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.operators import labels, pair
+from kinelake.functions.scalars import slug
+from kinelake.operators import labels, pair, pose
+from kinelake.operators.boosting import Settings
 from kinelake.plans import behaviour, study
 from kinelake.sources import readers, sinks
 from kinelake.plans.views import view
@@ -17,6 +20,7 @@ from .conftest import SF
 def test_matrices_training_and_prediction(spark):
     poses = view(spark, SF, "pose").filter("video_frame < 60").drop("fps", "event_id").cache()
     # Only the groups whose parts are there.
+    assert {"sp_pct15", "act30", "x_e15"} <= set(behaviour.single_matrix(poses, ["body_center"], 30, clean=False).columns)
     single = behaviour.single_matrix(poses, ["nose", "tail_base"], 30)
     assert {"nose+tail_base", "nt_lg10"} <= set(single.columns) and not {"elong", "ear_con", "sp_pct15"} & set(single.columns)
     keys = ["video_id", "mouse_id", "video_frame"]
@@ -25,7 +29,7 @@ def test_matrices_training_and_prediction(spark):
     # Every value is finite.
     assert small.filter("nt_lg10 IS NULL OR isnan(nt_lg10) OR nt_df20 IS NULL").count() == 0
     painted = small.select(*keys, F.lit("move").alias("action"), (F.col("video_frame") % 20 < 10).alias("y"))
-    models, thresholds = behaviour.train(small, painted, keys, "mouse_id", (3,), 2)
+    models, thresholds = behaviour.train(small, painted, keys, "mouse_id", (Settings(3, 0.3, least_weight=1.0),), 2)
     assert set(models) == {"move"} and 0 <= thresholds["move"] <= 1
     assert set(behaviour.predict(small, models, {"move": 0.3}, ("video_id", "mouse_id")).columns) == {"video_id", "mouse_id", "action", "start_frame", "stop_frame"}
 
@@ -73,7 +77,8 @@ def test_from_files_to_submission(spark, tmp_path):
     recordings(tmp_path, "train", (1, 3, 5), rng), recordings(tmp_path, "test", (21, 22), rng)
     train, test = load(spark, tmp_path, "train"), load(spark, tmp_path, "test")
     test.annotation = test.annotated = None
-    got = study.run(train, test, str(tmp_path / "store"), (2,), 2)
+    options = study.Options((Settings(6, 0.3, 4, least_weight=1.0),), 2)
+    got = study.run(train, test, str(tmp_path / "store"), options)
     rows = [tuple(r) for r in got.collect()]
     # The moving spans of video 21 are found; video 22 is of a section without training videos, and gets tiles.
     actions = {(r[0], r[1], r[2], r[3]) for r in rows}
@@ -85,6 +90,38 @@ def test_from_files_to_submission(spark, tmp_path):
     assert {"meta_same_sex", "meta_fps", "sp_lf_l5"} <= set(matrix.columns) and {r[0] for r in matrix.select("meta_fps").distinct().collect()} == {30.0, 25.0}
     sinks.write_submission(got, str(tmp_path / "out"))
     assert len(next((tmp_path / "out").glob("*.csv")).read_text().splitlines()) == len(rows) + 1
+    # What that run stored is taken instead of fitting, where there is any, and gives the same probabilities.
+    at, keys, store = "ear-left-ear-right-tail-base", [*study.KEYS, "video_frame"], str(tmp_path / "store")
+    painted = spark.read.parquet(f"{store}/{at}-train/labels-single")
+    stored, none = study.Options((), thresholds_from=store, models_from=store), study.Options((), adaptive=False)
+    models, columns = study.models_of(stored, matrix, painted, keys, f"{at}-single")
+    thresholds = study.thresholds_of(stored, matrix, painted, keys, at, "single")
+    assert set(models) == {"rear"} and columns == [c for c in matrix.columns if c not in keys] and set(thresholds) == {"rear"}
+    found = behaviour.predict(matrix, models, thresholds, study.KEYS)
+    assert {(r.video_id, r.action) for r in found.collect()} == {(1, "rear"), (3, "rear"), (5, "rear")}
+    assert study.thresholds_of(none, matrix, painted, keys, at, "single") == {}
+    # Stored models of an action that the labels at hand lack are dropped, if asked.
+    assert study.models_of(stored, matrix, painted.filter("NOT y"), keys, f"{at}-single")[0] == {}
+    kept = study.Options((), models_from=store, check_stored=False)
+    assert set(study.models_of(kept, matrix, painted.filter("NOT y"), keys, f"{at}-single")[0]) == {"rear"}
+
+
+def test_tracks_are_scanned_once_for_all_sections(spark, tmp_path):
+    recordings(tmp_path, "train", (1, 2, 3, 4), random.Random(2))
+    train = load(spark, tmp_path, "train")
+    tracks = study.by_section(train, str(tmp_path / "store" / "tracks"), 3)
+    assert tracks.count() == train.tracking.count() and {(r[0], r[1]) for r in tracks.select("section", "rate").distinct().collect()} == {
+        ("tail-base", 30.0), ("tail-base", 25.0), ("ear-left-ear-right-tail-base", 30.0), ("ear-left-ear-right-tail-base", 25.0)}
+    # Nothing after it reads the files: they can go.
+    shutil.rmtree(tmp_path / "train_tracking")
+    for section in pose.sections(train.metadata).collect():
+        name = spark.range(1).select(slug(F.lit(section.body_parts_tracked))).first()[0]
+        made = study.prepared(train, tracks, section.body_parts_tracked, name, list(section.parts), str(tmp_path / "store" / name))
+        assert set(made.poses) <= {25.0, 30.0} and all(p.count() == 180 * {1: 1, 2: 1, 3: 1, 4: 1}[p.first().video_id] for p in made.poses.values())
+        assert all(p.filter(" OR ".join(f"`{q}_x` IS NULL" for q in section.parts)).count() == 0 for p in made.poses.values())
+    own = tracks.filter("section = 'tail-base' AND rate = 25.0")
+    plan = own.groupBy("video_id", "video_frame").count()._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(section" in plan and "Exchange" not in plan.replace("AdaptiveSparkPlan", "") and len(own.inputFiles()) <= 3
 
 
 def test_only_labelled_actions_and_thinning(spark):

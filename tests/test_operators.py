@@ -1,5 +1,8 @@
 """Hand-built tables for poses, labels, decoding, intervals, the metric, learning, sources and sinks."""
 
+import random
+from collections import Counter
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -112,19 +115,32 @@ def test_thresholds_sampling_and_folds(spark):
     got = learning.quota_sample(rows, "g", "id", 200).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).collect()
     assert {r.g: (r.n, r.p) for r in got} == {0: (100, 5), 1: (100, 0)}
     assert learning.quota_sample(rows, "g", "id", 5000).count() == 2000 and learning.stratified_subset(rows, "id", 100).count() == 100
-    folds = learning.group_folds(spark.range(100).select((F.col("id") % 9).alias("g")), "g", 4).collect()
-    assert {r.fold for r in folds} == {0, 1, 2, 3} and len(folds) == 9
-
-
-def test_models_fit_store_and_load(spark, tmp_path):
-    rows = spark.range(300).select("id", (F.col("id") % 3).cast("double").alias("f"), (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 4).alias("g"))
-    models = learning.fit_action(rows, ["f"], (3,))
-    sinks.save_models(spark, {"a": models}, ["f"], str(tmp_path / "m"))
-    loaded, features = sinks.load_models(spark, str(tmp_path / "m"))
-    got = learning.ensemble_probability(loaded["a"], rows, ["id", "y"])
-    assert features == ["f"] and got.filter("(p > 0.5) <> (y = 1)").count() == 0
-    assert learning.fit_action(rows.filter("y = 0"), ["f"]) is None
-    assert learning.cross_validated(rows, ["f"], "g", ["id"], 2, 2).count() == 300
+
+
+def test_groups_go_to_the_lightest_fold(spark):
+    rng = random.Random(6)
+    for _ in range(300):
+        k = rng.randint(1, 6)
+        sizes = {rng.choice([1, 2, 3, 7, 50, 400, rng.randint(1, 2000)]): rng.randint(1, 60) for _ in range(rng.randint(1, 7))}
+        loads, want = [0] * k, []
+        for size in sorted(sizes, reverse=True):
+            for i in range(sizes[size]):
+                fold = loads.index(min(loads))
+                loads[fold] += size
+                want.append((size, i, fold))
+        runs = learning.greedy_runs(list(sizes.items()), k)
+        assert [(s, i, folds[(i - a) % len(folds)]) for s, a, b, folds in runs for i in range(a, b)] == want
+        assert len(runs) <= len(sizes) * (4 * k + 4)
+    rows = spark.range(3000).select((F.col("id") * F.col("id") % 97).alias("g"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("action"))
+    got = learning.group_folds(rows, "g", 4, by="action").collect()
+    count = Counter((r.action, r.g) for r in rows.collect())
+    for action in "ab":
+        loads = [0] * 4
+        own = {r.g: (r.n, r.fold) for r in got if r.action == action}
+        for n, g in sorted((-n, g) for (a, g), n in count.items() if a == action):
+            assert own.pop(g) == (-n, loads.index(min(loads)))
+            loads[loads.index(min(loads))] -= n
+        assert not own
 
 
 def test_sources_and_sinks(spark, tmp_path):
