@@ -24,8 +24,6 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 1  # the byte that stands for a word's beginning
 #: Scaled probabilities keep forward sums within the range of doubles for RESCALE bytes; then a word's sums are divided by their largest.
 GAIN, RESCALE = 64.0, 24
-#: Words longer than this are learned from in parts; scoring never parts a word.
-LEARNED = 47
 CHUNK = 1 << 22
 #: Doubles of a forward table: fewer words at once, the longer they are and the more languages there are.
 TABLE = 1 << 22
@@ -169,10 +167,9 @@ def train(words: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int
     order = np.argsort(hashes)
     lengths = np.array([len(p) for p in pieces])[order]
     model = PieceModel(hashes[order], lengths, np.full((len(pieces), len(langs)), 1 / len(pieces)), langs)
-    parts = [(lang, word[k : k + LEARNED], n) for lang, word, n in words for k in range(0, len(word), LEARNED)]
-    index = {w: i for i, w in enumerate(sorted({w[1] for w in parts}))}
+    index = {w: i for i, w in enumerate(sorted({w[1] for w in words}))}
     counts, column_of = np.zeros((len(index), len(langs))), {lang: i for i, lang in enumerate(langs)}
-    for lang, word, n in parts:
+    for lang, word, n in words:
         counts[index[word], column_of[lang]] += n
     data = np.frombuffer(b"".join(index), np.uint8)
     ends = np.cumsum([len(w) for w in index]) if index else np.zeros(0, np.int64)
@@ -184,12 +181,24 @@ def train(words: list[tuple[str, bytes, int]], pieces: list[bytes], rounds: int
             forward = np.zeros((int(n.max()) + 1, len(own), len(langs)))
             backward, seen = np.zeros_like(forward), list(_matches(model, total, n))
             forward[0] = 1
+            # Sums of RESCALE places have one scale, that of the largest of the places before; so a word may have any length.
+            scales = [np.zeros(forward.shape[1:])]
+
+            def step(i, k, rows, piece):
+                """A piece's probability, and what brings the scale of its beginning to that of its end."""
+                to, of = (i - 1) // RESCALE, max(i - k - 1, 0) // RESCALE
+                return scaled[piece] if to == of else scaled[piece] * np.exp(scales[of][rows] - scales[to][rows])
+
             for i, k, rows, piece in seen:
-                forward[i, rows] += forward[i - k, rows] * scaled[piece]
+                while len(scales) <= (i - 1) // RESCALE:
+                    at = (len(scales) - 1) * RESCALE + 1
+                    top = forward[at : at + RESCALE].max(0)
+                    scales.append(scales[-1] + np.log(np.where(top > 0, top, 1)))
+                forward[i, rows] += forward[i - k, rows] * step(i, k, rows, piece)
             each = np.arange(len(own))
             backward[n, each] = counts[own] / forward[n, each]
             for i, k, rows, piece in reversed(seen):
-                share = backward[i, rows] * scaled[piece]
+                share = backward[i, rows] * step(i, k, rows, piece)
                 np.add.at(expected, piece, share * forward[i - k, rows])
                 backward[i - k, rows] += share
         common = expected.sum(1) + 0.01

@@ -23,6 +23,8 @@ LABELLERS = ("symbols", "repetition", "capitals", "length", "sentences", "separa
 BUCKETS = 1 << 18
 #: What labellers start from, as wrong about 1 in 100 good texts and as finding a third of the bad ones, counts as much as so many votes.
 START, START_VOTES = (0.35, 0.01), 20
+#: Words among which the distinct ones are counted: variety within stretches doesn't fall with a text's length.
+STRETCH = 100
 VOTES = "doc_id long, " + ", ".join(f"{n} byte" for n in LABELLERS)
 RESULT = "doc_id long, score double, kept boolean"
 
@@ -75,9 +77,11 @@ def votes(words: Words) -> np.ndarray:
     bars = _per_doc(words, _spread(words, _BAR) > 0) / least
     distinct = np.zeros(len(n))
     if len(words.hashes):
-        order = np.lexsort((words.hashes, words.doc_of_word()))
-        h, d = words.hashes[order], words.doc_of_word()[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+        doc = words.doc_of_word()
+        piece = (np.arange(len(doc)) - words.bounds[:-1][doc]) // STRETCH
+        order = np.lexsort((words.hashes, piece, doc))
+        h, q, d = words.hashes[order], piece[order], doc[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (q[1:] != q[:-1]) | (d[1:] != d[:-1])])
         distinct = np.bincount(d, new, len(n))
     variety = distinct / least
     some = n >= 20
@@ -90,7 +94,7 @@ def votes(words: Words) -> np.ndarray:
         _vote(n >= 40, n < 5),
         _vote((sentences > 0.02) & (sentences < 0.3), (sentences < 0.002) & some),
         _vote((bars < 0.01) & some, bars > 0.1),
-        _vote((variety > 0.35) & some, (variety < 0.15) & (n < 2000) & some),
+        _vote((variety > 0.5) & some, (variety < 0.25) & some),
         _vote(share > 0.93, share < 0.88),
         _vote(wordless < 0.02, wordless > 0.1),
     ], 1)

@@ -540,6 +540,32 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(langid.word_scores(model, model.scaled(), np.frombuffer(word, np.uint8), np.array([0]), np.array([200]))[0], want)
 
 
+def test_em_sums_whole_words_of_any_length():
+    """Two rounds of EM on a word of 200 bytes and a short one, against sums over all places of whole words."""
+    pieces = [b"\x01", b"\x01a", b"a", b"b", b"ab", b"ba", b"\x01ab", b"bababa" * 5]
+    long = bytes(random.Random(3).choice(b"ab") for _ in range(200)) + b"bababa" * 6
+    words = [("x", long, 3), ("x", b"abba", 2), ("y", b"ba", 5), ("y", long[:90], 1)]
+    probs = np.full((len(pieces), 2), 1 / len(pieces))
+    for _ in range(2):
+        expected = np.zeros_like(probs)
+        for lang, word, n in words:
+            s, k = b"\x01" + word, "xy".index(lang)
+            fits = [(i, j) for i in range(len(s)) for j, p in enumerate(pieces) if s.startswith(p, i)]
+            ahead, behind = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
+            for i, j in fits:
+                ahead[i + len(pieces[j])] += ahead[i] * probs[j, k]
+            for i, j in reversed(fits):
+                behind[i] += behind[i + len(pieces[j])] * probs[j, k]
+            for i, j in fits:
+                expected[j, k] += n * ahead[i] * probs[j, k] * behind[i + len(pieces[j])] / ahead[-1]
+        common = expected.sum(1) + 0.01
+        common = 0.99 * common / common.sum() + 0.01 / len(common)
+        probs = (expected + 20.0 * common[:, None] * 50) / (expected.sum(0) + 20.0 * 50)
+    model = langid.train(words, pieces, rounds=2)
+    order = np.argsort(langid._hash_pieces(pieces))
+    assert np.allclose(model.probs, probs[order], rtol=1e-9)
+
+
 def test_predictions_follow_brute_force(spark):
     """Each text's language is the one with the largest product of its words' marginal likelihoods."""
     rng = random.Random(5)
@@ -612,9 +638,15 @@ def test_network_adds_keys_that_no_rule_knows(spark):
     own = f"{word()}/" * 30 + key(64) + f"/{word()}" * 30
     rows.append((700, f"x {own} y"))
     planted[700] = (2, 2 + len(own))
+    for i in range(701, 731):  # a rule finds a part of the key
+        own, a, b = key(22) + "0123456789abcdef" + key(22), prose(4), prose(5)
+        rows.append((i, f"{a} {own} {b}"))
+        planted[i] = (len(a) + 1, len(a) + 1 + len(own))
     got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     caught = [i for i, (a, b) in planted.items() if f"cnn:{a}:{b}" in got[i].spans.split(",")]
-    assert len(caught) >= 0.95 * len(planted) and 700 in caught
+    assert len(caught) >= 0.95 * len(planted) and 700 in caught and sum(i > 700 for i in caught) >= 28
+    # Every span has a score; the added ones are at or above the threshold.
+    assert all(len(r.scores) == len([s for s in r.spans.split(",") if s]) and all(0 <= x <= 1 for x in r.scores) for r in got.values())
     assert sum(got[i].n_cnn for i in clean) <= 0.03 * len(clean)
     assert sum(r.n_cnn for r in got.values()) >= len(caught)
     for i, text in rows:
@@ -622,6 +654,29 @@ def test_network_adds_keys_that_no_rule_knows(spark):
         assert set(said) <= set(got[i].spans.split(","))
 
 
+def test_character_network_follows_brute_force():
+    """Scores of runs as the largest over windows of the largest activations of each filter, before the run and in it."""
+    net, rng = secrets.CharNetwork(3), np.random.default_rng(4)
+    net.p["o"] = rng.normal(size=net.p["o"].shape).astype(np.float32)
+    net.scale, net.shift = 0.7, -0.2
+    texts = [b"\0" * 4 + b"some words here: abc"[:20] + bytes(rng.integers(48, 122, n).astype(np.uint8)) + b" behind." for n in (3, 32, 33, 70)]
+
+    def of(window):
+        pooled = []
+        for k in net.WIDTHS:
+            at = np.array([[sum(net.p["e"][window[i + j]] @ net.p[f"w{k}"][j * net.DIM : (j + 1) * net.DIM, f] for j in range(k)) + net.p[f"b{k}"][f] for f in range(net.FILTERS)] for i in range(len(window) - k + 1)])
+            pooled += [np.maximum(at[: secrets.BEFORE], 0).max(0), np.maximum(at[secrets.BEFORE :], 0).max(0)]
+        return np.concatenate(pooled) @ net.p["o"] + net.p["c"][0]
+
+    want = []
+    for t in texts:
+        before, run, behind = t[: secrets.BEFORE], t[secrets.BEFORE : -secrets.AFTER], t[-secrets.AFTER :]
+        starts = range(0, max(len(run) - 16, 1), 16)
+        z = max(of(before + run[s : s + 32].ljust(32, b"\0") + behind) for s in starts)
+        want.append(1 / (1 + math.exp(-(0.7 * z - 0.2))))
+    assert np.allclose(net.score(texts), want, atol=1e-5)
+
+
 def test_few_findings_are_enough_to_score(spark):
     """No number of findings switches the network off; only none at all leaves nothing to learn from."""
     rows = [(i, f"words and more words {i} token = {hashlib.sha256(str(i).encode()).hexdigest()[:30]}Z{i}Q") for i in range(3)]
