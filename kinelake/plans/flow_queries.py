@@ -462,7 +462,7 @@ def model_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold probabilities of two labels of every vector, from all its values, fitted side by side."""
     e, write = view(spark, sf_dir, "embeddings"), sinks.scratch_writer(spark, "ensemble")
     rows = write(e.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(_DIM))))
-    painted = rows.select("vec_id", F.explode(F.array(F.struct(F.lit("odd").alias("action"), (F.col("label") % 2 == 1).alias("y")), F.struct(F.lit("low"), F.col("label") < 5))).alias("l")).select("vec_id", "l.*")
+    painted = rows.select("vec_id", F.explode(F.array(F.struct(F.lit("odd").alias("action"), (F.col("label") % 2 == 1).alias("y")), F.struct(F.lit("low").alias("action"), (F.col("label") < 5).alias("y")))).alias("l")).select("vec_id", "l.*")
     settings = boosting.Settings(12, depth=4)
     oof = behaviour.cross_validated(rows.drop("label"), painted, ["vec_id"], ["low", "odd"], "vec_id", settings, 3, boosting.MOST_ROWS, write)
     return oof.select(F.col("key").cast("long").alias("vec_id"), "action", "y", "p")
@@ -473,7 +473,7 @@ def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels that a few splits tell: every part's label is said by a fit that never saw its brand. One row for each part and label."""
     parts, write, size = view(spark, sf_dir, "part"), sinks.scratch_writer(spark, "folds"), F.col("p_size")
     rows = write(parts.select("p_partkey", "p_brand", "p_size", "p_retailprice"))
-    each = F.explode(F.array(F.struct(F.lit("large").alias("action"), (size >= 26).alias("y")), F.struct(F.lit("middle"), size.between(11, 30))))
+    each = F.explode(F.array(F.struct(F.lit("large").alias("action"), (size >= 26).alias("y")), F.struct(F.lit("middle").alias("action"), size.between(11, 30).alias("y"))))
     painted = rows.select("p_partkey", "p_brand", each.alias("l")).select("p_partkey", "p_brand", "l.*")
     settings = boosting.Settings(12, 0.5, 3, least_weight=1.0, rows=1.0, columns=1.0)
     oof = behaviour.cross_validated(rows.drop("p_brand"), painted, ["p_partkey"], ["large", "middle"], "p_brand", settings, 5, boosting.MOST_ROWS, write)
