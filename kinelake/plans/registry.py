@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flow_queries, pair_queries, single_queries
+from . import block_queries, flow_queries, pair_queries, single_queries
 
-QUERIES = {**single_queries.QUERIES, **pair_queries.QUERIES, **flow_queries.QUERIES}
-ORACLES = {**single_queries.ORACLES, **pair_queries.ORACLES, **flow_queries.ORACLES}
+QUERIES = {**single_queries.QUERIES, **pair_queries.QUERIES, **flow_queries.QUERIES, **block_queries.QUERIES}
+ORACLES = {**single_queries.ORACLES, **pair_queries.ORACLES, **flow_queries.ORACLES, **block_queries.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,9 +51,12 @@ def motion(s: Sql) -> Sql:
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+#: The function and columns of each query of features.
+FEATURES: dict = {}
 
 
 def register(name: str, f, columns: list[str], build) -> None:
+    FEATURES[name] = (f, columns)
     QUERIES[name] = feature(f, columns)
     ORACLES[name] = per_rate("pose", KEYS, build, columns)
 

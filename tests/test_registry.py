@@ -15,14 +15,14 @@ def cells(rows):
 
 def test_every_oracle_has_its_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"model_ensemble"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"model_ensemble", "study_run"}
 
 
 def test_flagship_runs(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["single_states", "single_ear", "pair_approach", "third_party_ctx", "label_paint", "greedy_nonoverlap", "frame_fbeta_lab", "sanitize", "meta_encode"])
+@pytest.mark.parametrize("name", ["single_states", "single_ear", "pair_approach", "third_party_ctx", "label_paint", "greedy_nonoverlap", "frame_fbeta_lab", "sanitize", "meta_encode", "blocks_matrix", "tracks_by_section", "group_folds"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
     con.sql("SET TimeZone='UTC'")
