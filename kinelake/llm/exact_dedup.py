@@ -62,7 +62,13 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def entries(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """(digest, keep_id), one row a digest.
+
+        Writers that read the same state may both enter a digest. Whichever
+        files are there first, the smallest id stands for it from then on, for
+        all readers; the table's buckets group by digest, so nothing is shuffled.
+        """
+        return self.spark.table(self.name).groupBy("digest").agg(F.min("keep_id").alias("keep_id"))
 
     def append(self, groups: DataFrame) -> None:
         """Enter the digests of (digest, first_id, n) rows that the index lacks, with their first_id.
@@ -108,6 +114,15 @@ def exact_dedup(docs: DataFrame, path: str | None = None, buckets: int = 64) ->
     )
 
 
+def exact_dedup_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in two batches on one index: those that ``labels`` knows, then the others, which meet the digests of the first."""
+    docs, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id").distinct()
+    path = scratch_path(spark, "digest-index")
+    first = materialise(exact_dedup(docs.join(known, "doc_id", "left_semi"), path), "first-batch")
+    second = exact_dedup(docs.join(known, "doc_id", "left_anti"), path)
+    return first.withColumn("batch", F.lit(1)).unionByName(second.withColumn("batch", F.lit(2)))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -118,3 +133,10 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256
 FROM d JOIN g ON d.text_sha256 = g.text_sha256
 """
+
+BATCHES_ORACLE = r"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 2 END AS batch,
+  sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, batch, count(*) AS group_size, first_value(min(doc_id)) OVER (PARTITION BY text_sha256 ORDER BY batch) AS keep_id FROM d GROUP BY text_sha256, batch)
+SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256, d.batch FROM d JOIN g ON d.text_sha256 = g.text_sha256 AND d.batch = g.batch
+"""

@@ -18,8 +18,9 @@ QUERIES = {
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_quality_rules": quality_rules.op12_quality_rules,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
+    "exact_dedup_batches": exact_dedup.exact_dedup_batches,
 }
 ORACLES = {
     "op3_mixing": mixing.ORACLE, "op7_sharding": sharding.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE,
-    "op12_quality_rules": quality_rules.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE,
+    "op12_quality_rules": quality_rules.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE, "exact_dedup_batches": exact_dedup.BATCHES_ORACLE,
 }

@@ -81,6 +81,24 @@ def test_digest_index_holds_over_batches(spark):
     assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan
 
 
+def test_two_writers_of_one_index(spark):
+    """Both read an empty index and enter the same digests; documents stay one row each, and the smaller id stands."""
+    path = new_path(spark, "writers")
+    batches = [spark.createDataFrame([(i, t) for i, t in enumerate(["same", "mine" if k else "yours", "same"], 10 * (2 - k))], "doc_id long, text string") for k in range(2)]
+    one = exact_dedup.DigestIndex(spark, path, 4)
+    groups = [exact_dedup.digests(b).groupBy("digest").agg(F.min("doc_id").alias("first_id")) for b in batches]
+    fresh = [materialise(g.join(one.entries().select("digest"), "digest", "left_anti"), "fresh") for g in groups]
+    for f in fresh:  # what both found missing, entered without looking again
+        f.repartition(4, "digest").select("digest", F.col("first_id").alias("keep_id")).write.format("parquet").mode("append").bucketBy(4, "digest").sortBy("digest").option("path", path).saveAsTable(one.name)
+    assert spark.table(one.name).count() == 4 and one.entries().count() == 3
+    plan = one.entries()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    one.close()
+    later = spark.createDataFrame([(1, "same"), (2, "yours"), (3, "new")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(later, path, 4).collect()}
+    assert got == {1: (10, False), 2: (21, False), 3: (3, True)}
+
+
 def test_hot_keys_stay_where_they_are(spark):
     """Of 98 % equal keys no task of the join gets more than its share; adaptive execution is off, so it can't help."""
     rows = materialise(spark.range(0, 30_000, 1, 8).selectExpr("id AS doc_id", "CASE WHEN id % 50 = 0 THEN id ELSE 7 END AS k"), "rows")
