@@ -83,7 +83,8 @@ def study_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From tracks, annotations and metadata to intervals without overlap: learned from the recordings of two labs, for those of the third.
 
     Events stand for behaviours, so there is little to learn; every labelled
-    test video has intervals or tiles.
+    test video has intervals or tiles. Thresholds are the fixed one: tuning has
+    queries of its own.
     """
     path = sinks.scratch_folder(spark, "study")
     marks = view(spark, sf_dir, "annotation")
@@ -99,7 +100,7 @@ def study_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos, tracks = write(videos), view(spark, sf_dir, "track_long").filter("bodypart = 'body_center'").withColumn("mouse_id", F.col("mouse_id").cast("string"))
     train = study.Study(videos.filter("lab_id <> 'lab2'"), tracks, marks, marks.select("video_id").distinct())
     test = study.Study(videos.filter("lab_id = 'lab2'"), tracks)
-    return study.run(train, test, path, study.Options((Settings(4, 0.3, 3, least_weight=1.0),), 2))
+    return study.run(train, test, path, study.Options((Settings(4, 0.3, 3, least_weight=1.0),), adaptive=False))
 
 
 QUERIES["study_run"] = study_run
