@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql.types import StructType
 WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: A key is hot with more than one in HOT_SHARE of all rows, so that there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 10_000
+#: Keys are counted by hash in so many bins where most of them can't be hot; more than HOT_SHARE, so that an even bin is below a hot key's share.
+BINS = 1 << 14
 #: Tables of up to so many short rows (a few MB) are broadcast whole.
 BROADCAST_ROWS = 200_000
 _own: dict[str, str] = {}
@@ -55,6 +58,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _writing(spark: SparkSession):
+    """WHILE_WRITING holds, and what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
+    for k, v in WHILE_WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -63,14 +79,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     next garbage collection. Batches for Python are small while it runs.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    before = {k: spark.conf.get(k, None) for k in WHILE_WRITING}
-    for k, v in WHILE_WRITING.items():
-        spark.conf.set(k, v)
-    try:
+    with _writing(spark):
         df.write.option("compression", "lz4").parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -99,6 +109,38 @@ def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int,
     return joined.unionByName(rest)
 
 
+def hot_keys(rows: DataFrame, keys: list[str], *aggregates) -> DataFrame:
+    """(keys, aggregates) of the keys that more than one in HOT_SHARE of all rows have, a materialised table of fewer than HOT_SHARE rows.
+
+    No row is shuffled: rows are counted by bins of their keys' hashes, and
+    only keys in bins with as many rows as a hot key has are counted one by
+    one. ``rows`` is read twice, and should be a written table.
+    """
+    number = F.pmod(F.xxhash64(*keys), F.lit(BINS))
+    bins = materialise(rows.groupBy(number.alias("__bin")).agg(F.count(F.lit(1)).alias("__n")), "bins")
+    most = max((bins.agg(F.sum("__n")).first()[0] or 0) // HOT_SHARE, 1)
+    full = bins.filter(F.col("__n") > most).select("__bin")  # at most BINS rows
+    within = rows.withColumn("__bin", number).join(F.broadcast(full), "__bin", "left_semi")
+    out = within.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *aggregates).filter(F.col("__n") > most).drop("__n")
+    out = materialise(out, "hot-keys")
+    discard(bins)
+    return out
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write a table once in buckets of a key: joins on the key then leave its rows where they are. ``discard`` deletes it."""
+    spark, path, entry = df.sparkSession, scratch_path(df.sparkSession, name), f"scratch_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with _writing(spark):
+        rows = df.repartition(buckets, key).write.format("parquet").option("compression", "lz4").bucketBy(buckets, key)
+        rows.option("path", path).saveAsTable(entry)
+    out = spark.table(entry)
+    out.schema  # looked up before the catalog forgets the name; the files stay
+    spark.sql(f"DROP TABLE {entry}")
+    out._scratch = path
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,10 +21,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, discard, join_counted, materialise, table
+from .shared import arrow_schema, bucketed, discard, hot_keys, materialise, table
 from .text import Words, column, token_batches
 
 WINDOW = 13
@@ -66,11 +66,19 @@ def _anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-def _shared(rows: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, int]:
-    """(keys, lo, n): hashes of two documents or more, the smallest of these, and the rows of each; and all their rows. Summed up before the shuffle."""
-    found = rows.groupBy(*keys).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").drop("hi")
-    found = materialise(found, name)
-    return found, found.agg(F.sum("n")).first()[0] or 0
+def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of a written table whose key two documents or more have, with ``lo``, the smallest of these.
+
+    One scan and one exchange, in which each row meets all that have its key.
+    What hot keys come to is known beforehand, so their rows are dealt by
+    document as well.
+    """
+    lo, hi = F.min("doc_id"), F.max("doc_id")
+    hot = hot_keys(rows, keys, lo.alias("hot_lo"), hi.alias("hot_hi"))
+    met = rows.join(F.broadcast(hot), keys, "left").withColumn("deal", F.when(F.col("hot_lo").isNotNull(), F.col("doc_id")))
+    group = Window.partitionBy(*keys, "deal")
+    met = met.select(*rows.columns, F.coalesce("hot_lo", lo.over(group)).alias("lo"), F.coalesce("hot_hi", hi.over(group)).alias("hi"))
+    return met.filter("lo < hi").drop("hi")
 
 
 def _level(docs: DataFrame, known: DataFrame, window: int, before: int | None) -> DataFrame:
@@ -119,6 +127,11 @@ def _level(docs: DataFrame, known: DataFrame, window: int, before: int | None) -
     return joined.mapInArrow(run, WINDOWS)
 
 
+def by_document(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents with a doc_id, written once in buckets of it: the one time that texts are shuffled."""
+    return bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL"), "doc_id", "texts")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, upto: int | None = WINDOW, first: bool = True) -> list[tuple[int, DataFrame]]:
     """Repeated windows by length: (length, (doc_id, at, lo)), lo being the smallest document that has the window.
 
@@ -126,23 +139,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, upto: int | None = W
     until no candidates survive, or to ``upto``. All rows of a document with a
     window are listed; the first document's as well, but for ``first`` False,
     which ends at ``window``. A window or anchor that a large share of all
-    rows has is no task of its own.
+    rows has is no task of its own. Each level joins on doc_id: ``docs`` in
+    buckets of it, as ``by_document`` writes them, stay where they are.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     listed = materialise(_anchors(docs, window), "anchors")
     rows = listed.select("doc_id", F.explode("anchors").alias("h"))
-    shared, total = _shared(rows, ["h"], "shared-anchors")
-    known = join_counted(rows, shared, ["h"], total).groupBy("doc_id").agg(F.collect_list("h").alias("known"))
+    known = _repeated(rows, ["h"]).groupBy("doc_id").agg(F.collect_list("h").alias("known"))
     known, before, out = materialise(known, "known"), None, []
-    discard(listed, shared)
+    discard(listed)
     while True:
         found = materialise(_level(docs, known, window, before), f"windows-{window}")
-        shared, total = _shared(found, ["h", "g"], f"shared-{window}")
-        repeated = join_counted(found, shared, ["h", "g"], total).select("doc_id", "at", "lo")
+        discard(known)
+        repeated = _repeated(found, ["h", "g"]).select("doc_id", "at", "lo")
         if not first:
             repeated = repeated.filter("lo < doc_id")
         repeated = materialise(repeated, f"repeats-{window}")
-        discard(known, found, shared)
+        discard(found)
         if before is not None and repeated.isEmpty():
             return out
         out.append((window, repeated))
@@ -154,7 +166,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, upto: int | None = W
 
 def longest_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, at, n_words, lo): repeated windows of each doubled length that lie in no repeated window of the next one."""
+    docs = by_document(docs)
     levels, out = repeated_windows(docs, window, None), None
+    discard(docs)
     for i, (n, rows) in enumerate(levels):
         if i + 1 < len(levels):
             m, longer = levels[i + 1]
@@ -193,7 +207,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = False) ->
     """
     schema_of = RESULT + (", kept_text string" if text else "")
     schema = arrow_schema(docs.sparkSession.createDataFrame([], schema_of).schema)
-    (_, repeated), = repeated_windows(docs, window, window, False)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = by_document(own)
+    (_, repeated), = repeated_windows(texts, window, window, False)
     covered = materialise(repeated.groupBy("doc_id").agg(F.collect_list("at").alias("known")), "covered")
     discard(repeated)
 
@@ -218,8 +234,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: bool = False) ->
                     rows.append((*row, own.decode()) if text else row)
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(covered, "doc_id", "left")
-    return joined.select("doc_id", "text", "known").mapInArrow(lambda it: run(b for b in it if b.num_rows), schema_of)
+    # Rows without a doc_id would all be one key.
+    whole = own.filter("doc_id IS NULL").withColumn("known", F.lit(None).cast("array<int>"))
+    joined = texts.join(covered, "doc_id", "left").select("doc_id", "text", "known").unionByName(whole)
+    return joined.mapInArrow(lambda it: run(b for b in it if b.num_rows), schema_of)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

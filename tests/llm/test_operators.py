@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinelake.llm import calibration, components, decontaminate, exact_dedup, langid, mixing, near_dedup, quality, secrets, sharding, substring_dedup, toxicity
+from kinelake.llm import calibration, components, decontaminate, exact_dedup, langid, mixing, near_dedup, quality, secrets, sharding, shared, substring_dedup, toxicity
 from kinelake.llm.shared import first_by_hash, join_counted, materialise, new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -340,6 +340,32 @@ def test_substring_dedup_matches_all_windows(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [3, 10_000])
+def test_substring_dedup_of_hot_and_rare_windows(spark, monkeypatch, share):
+    """One passage in a third of the documents, others in two: with many keys hot, and with almost none."""
+    monkeypatch.setattr(shared, "HOT_SHARE", share)
+    rng = random.Random(77)
+    words = lambda k: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(k))
+    hot, pairs = words(20), [words(18) for _ in range(10)]
+    rows = [(i, f"{words(9)} {hot if i % 3 == 0 else ''} {words(9)} {pairs[i // 2] if i < 20 else ''}") for i in range(60)]
+    rows.append((60, "same " * 40))  # windows of one document only
+    want = brute_repeats(rows)
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want and sum(r.n_removed > 0 for r in got) > 25
+
+
+def test_hot_keys_and_buckets(spark):
+    rows = spark.createDataFrame([(0 if i % 3 == 0 else i, i) for i in range(30_000)], "k long, doc_id long")
+    (hot,) = shared.hot_keys(rows, ["k"], shared.F.min("doc_id").alias("lo")).collect()
+    assert (hot.k, hot.lo) == (0, 0)
+    texts = shared.bucketed(rows, "doc_id", "rows")
+    narrow = rows.groupBy("doc_id").agg(shared.F.count("k").alias("n"))
+    joined = texts.hint("merge").join(narrow, "doc_id")
+    assert joined.count() == 30_000
+    plan = joined._jdf.queryExecution().sparkPlan().toString() + joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1  # the narrow side's own
+
+
 def test_longest_repeats_double_until_none_survive(spark):
     a = " ".join(f"w{i}" for i in range(60))
     rows = spark.createDataFrame([(1, "x " + a), (2, a + " y"), (3, "z " + " ".join(f"w{i}" for i in range(14)))], "doc_id long, text string")
