@@ -428,6 +428,47 @@ def test_decontamination_of_short_documents_and_items(spark):
     assert {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_decontamination_of_many_copies_and_long_stretches(spark, monkeypatch):
+    """A third of the documents share a passage that a third of the items are; pieces of segments lose no window, and the first of equal ones is told."""
+    monkeypatch.setattr(decontaminate, "SPAN", 7)
+    rng = random.Random(21)
+    word = lambda: f"{rng.choice('klmnop')}{rng.randint(0, 5000)}"
+    passage, others = [word() for _ in range(40)], [[word() for _ in range(n)] for n in range(13, 33)]
+    items = [(i, " ".join(passage)) for i in range(10)] + [(100 + i, " ".join(w)) for i, w in enumerate(others)] + [(3, " ".join(others[0]))]
+    rows, want = [], Counter()
+    for d in range(30):
+        head = [word() for _ in range(rng.randint(0, 9))]
+        if d % 3 == 0:
+            rows.append((d, " ".join([*head, *passage])))
+            want.update((d, i, len(head), 40) for i in range(10))
+        else:
+            rows.append((d, " ".join([*head, *(word() for _ in range(60))])))
+    rows.append((500, " ".join(w for item in others * 2 for w in item)))
+    at = 0
+    for i, w in enumerate(others):
+        want[500, 100 + i, at, len(w)] += 1
+        at += len(w)
+    want[500, 3, 0, 13] += 1
+    rows.append((rows[0][0], rows[0][1]))  # a repeated row
+    want.update((0, i, want_at, 40) for d, i, want_at, n in list(want) if d == 0)
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(docs, bench).collect()
+    assert Counter((r.doc_id, r.item_id, r.first_word, r.n_words) for r in got) == want and {r.similarity for r in got} == {1.0}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [d for d in range(30) if d % 3]
+
+
+def test_fingerprints_of_like_windows_lie_within_the_radius():
+    """Pairs of weighted shingle sets with a similarity of 0.8 or little more: at most one in a thousand is lost."""
+    rng = np.random.default_rng(1)
+    for size, common in ((9, 8), (19, 17), (46, 41)):
+        h = rng.integers(0, 2**64, (4000, 2 * size - common), dtype=np.uint64)
+        w = rng.integers(15, 36, h.shape)
+        bits = decontaminate._signed_bits(h.ravel()).reshape(*h.shape, 64) * w[:, :, None]
+        apart = np.bitwise_count(decontaminate._pack(bits[:, :size].sum(1)) ^ decontaminate._pack(bits[:, size - common :].sum(1)))
+        like = w[:, size - common : size].sum(1) / w.sum(1) >= decontaminate.SIMILARITY
+        assert like.sum() > 1000 and (apart[like] > decontaminate.RADIUS).mean() <= 0.001
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 200, dtype=np.uint64)
