@@ -144,6 +144,14 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def span_hashes(data: np.ndarray, *spans: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the bytes between starts and ends, for each pair of them; for short spans."""
+    up, down = _BYTE_POWERS.get(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return [mix((total[ends] - total[starts]) * down[starts]) for starts, ends in spans]
+
+
 def tokenize(data: np.ndarray, offsets: np.ndarray, rows: slice, lower: bool = False, space: np.ndarray = SPACE) -> Words:
     """Words of a run of documents; ``space`` says which bytes separate them."""
     base = offsets[rows.start]

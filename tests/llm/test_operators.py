@@ -759,6 +759,101 @@ def test_character_network_follows_brute_force():
     assert np.allclose(net.score(texts), want, atol=1e-5)
 
 
+def _findings(spark, found, plain):
+    rows = [(i, [], [], [], [0], [0], [label], [t]) for i, (label, t) in enumerate([*((secrets.FOUND_RUN, t) for t in found), *((secrets.PLAIN_RUN, t) for t in plain)])]
+    return spark.createDataFrame(rows, secrets.FOUND)
+
+
+def test_all_findings_train_the_network(spark):
+    """Findings behind the first 3,000 by hash, and short runs, change the network."""
+    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    found = _findings(spark, [b"%24s%s%8s" % (b"token = ", digest(i)[:20].encode(), b" words") for i in range(3400)], [b"%24shost%d.example.com%8s" % (b"words ", i, b" words") for i in range(40)])
+    text = F.col("c_text")[0]
+    first = found.filter(F.col("c_label")[0] == secrets.FOUND_RUN).orderBy(F.xxhash64(text)).limit(3000).unionByName(found.filter(F.col("c_label")[0] == secrets.PLAIN_RUN))
+    (whole, _), (part, _) = secrets.fit_network(found), secrets.fit_network(first)
+    assert not all(np.array_equal(whole.p[k], part.p[k]) for k in whole.p)
+    again, _ = secrets.fit_network(found.repartition(7))
+    assert all(np.array_equal(whole.p[k], again.p[k]) for k in whole.p) and (whole.scale, whole.shift) == (again.scale, again.shift)
+    short = spark.createDataFrame([(b"%24swording%8s" % (b"a ", b" b"),)], "t binary")
+    more, _ = secrets.fit_network(found, short)
+    assert not all(np.array_equal(whole.p[k], more.p[k]) for k in whole.p)
+
+
+def test_shards_hold_every_run_equally_often(spark, monkeypatch):
+    """Each run is fitted on or left out, in as many shards as any of its label, though findings are rare."""
+    found, plain = [b"%24skey%d%8s" % (b"", i, b"") for i in range(50)], [b"%24sword%d%8s" % (b"", i, b"") for i in range(3000)]
+    monkeypatch.setattr(secrets, "SHARD_WINDOWS", 300)
+    monkeypatch.setattr(secrets, "SHORT_HELD", 100)
+    seen, deal = [], secrets._shards
+
+    def spy(rows, counts, name):
+        out = deal(rows, counts, name)
+        seen.append(out.collect())
+        return out
+
+    monkeypatch.setattr(secrets, "_shards", spy)
+    short = spark.createDataFrame([(t,) for t in plain[100:]], "t binary")
+    net, threshold = secrets.fit_network(_findings(spark, found, plain[:100]), short)
+    assert 0 <= threshold <= 1 and len(seen) == 2 and min(map(len, seen)) > 1 and all(r.none and r.secret for shards in seen for r in shards)
+    for texts, column, label in ((plain, "none", 0), (found, "secret", 1)):
+        fit, left = (Counter(bytes(t) for r in shards for t in r[column]) for shards in seen)
+        assert set(fit) | set(left) == set(texts) and not set(fit) & set(left) and 0.1 < len(left) / len(texts) < 0.35
+        for of, shards in ((fit, seen[0]), (left, seen[1])):
+            assert set(of.values()) == {shards[0].times[label]}
+
+
+def test_short_runs_are_all_there(spark, docs, monkeypatch):
+    """Distinct plain runs outside the rules' spans against a loop, each in a context that it has, with tasks that hand on often."""
+    monkeypatch.setattr(secrets, "SHORT_HELD", 50)
+    rng = random.Random(3)
+    rows = [(i, " ".join("".join(rng.choice("abcxyz") for _ in range(rng.randint(3, 9))) + rng.choice(["", "7", ".", "é"]) for _ in range(60))) for i in range(40)]
+    rows += [(50, "password: abcdefghijkl12 Wordly SSmixed under_score 1234567"), (51, "endings"), (52, None), (53, ""), (54, "password=abcdefghijklm words9")]
+    want = {}
+    for _, text in rows:
+        data = (text or "").encode()
+        covered = {i for _, p, ok in BASE for m in p.finditer(text or "") if ok(m) for i in range(len(text[: m.start()].encode()), len(text[: m.end()].encode()))}
+        for m in re.finditer(rb"[A-Za-z0-9+/_.=-]{6,}", data):
+            a, b = m.span()
+            if not covered & set(range(a, b)) and not (b - a >= 12 and re.search(rb"[0-9]", m[0])) and b - a < 24 and secrets.PLAIN.fullmatch(m[0]):
+                want.setdefault(m[0], set()).add(data[max(a - 24, 0) : a].rjust(24, b"\0") + m[0] + data[b : b + 8].ljust(8, b"\0"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {bytes(r.run): bytes(r.t) for r in secrets.short_runs(df.repartition(3)).collect()}
+    assert len(want) > 500 and set(got) == set(want) and all(t in want[run] for run, t in got.items())
+    assert got == {bytes(r.run): bytes(r.t) for r in secrets.short_runs(df.coalesce(1)).collect()}
+
+
+def test_network_gradient_follows_differences():
+    rng, net = np.random.default_rng(2), secrets.CharNetwork(3)
+    net.p = {k: rng.normal(0, 0.3, a.shape) for k, a in net.p.items()}
+    x, y, weight = rng.integers(40, 60, (30, secrets.WINDOW)).astype(np.uint8), np.arange(30) % 2, rng.random(30)
+    g = net.gradient(x, y, weight)
+
+    def loss():
+        z = net._forward(x)[0]
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum())
+
+    for k, a in net.p.items():
+        flat, slope = a.reshape(-1), g[k].reshape(-1)
+        for i in np.argsort(-np.abs(slope))[:5]:
+            old, ends = flat[i], []
+            for step in (1e-5, -1e-5):
+                flat[i] = old + step
+                ends.append(loss())
+            flat[i] = old
+            assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(slope[i], rel=2e-3)
+
+
+def test_sums_calibrate_and_rank_like_arrays(spark):
+    rng = np.random.default_rng(6)
+    y = (np.arange(3000) % 10 == 0).astype(int)
+    z = (rng.normal(-2, 2, 3000) + 4 * y).astype(np.float32)
+    z[:4] = -0.0, 0.0, -1e-30, 1e-30
+    df = spark.createDataFrame([(int(a), 1.0, float(b)) for a, b in zip(y, z)], "y int, weight double, z float").repartition(3)
+    assert calibration.calibrate_rows(df) == pytest.approx(calibration.calibrate(z.astype(float), y.astype(float)), rel=1e-4)
+    for n in (0, 1, 150, 1500, 2999):
+        assert secrets.nth_smallest(df, "z", n) == np.sort(z)[n]
+
+
 def test_few_findings_are_enough_to_score(spark):
     """No number of findings switches the network off; only none at all leaves nothing to learn from."""
     rows = [(i, f"words and more words {i} token = {hashlib.sha256(str(i).encode()).hexdigest()[:30]}Z{i}Q") for i in range(3)]
