@@ -163,3 +163,18 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.save_thresholds(t, str(tmp_path / "thr"))
     sinks.save_thresholds(t.filter("switch = 'pair'").withColumn("threshold", F.lit(0.9)), str(tmp_path / "thr"))
     assert sinks.load_thresholds(spark, str(tmp_path / "thr"), "s", "pair") == {"a": 0.9} and sinks.load_thresholds(spark, str(tmp_path / "thr"), "s", "single") == {"a": 0.5}
+
+
+def test_a_video_is_one_file_whatever_its_tasks(spark, tmp_path):
+    """Rows of a video lie in many tasks; only a long recording has more than one file. Thousands of files are not thousands of tasks."""
+    rows = spark.range(4000).select((F.col("id") % 100).alias("video_id"), F.concat(F.lit("lab "), F.col("id") % 2).alias("lab_id"), F.expr("CAST(id DIV 100 AS INT)").alias("video_frame"), F.lit("1").alias("mouse_id"), F.lit("nose").alias("bodypart"), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 3 == 0, 1.0).alias("y"))
+    rows = rows.withColumn("video_frame", F.when(F.col("video_id") == 7, F.col("video_frame") + 1000).otherwise(F.col("video_frame"))).repartition(7)
+    sinks.write_videos(rows, str(tmp_path / "v"), stretch=1020)
+    files = [f.relative_to(tmp_path / "v").as_posix() for f in (tmp_path / "v").rglob("*") if f.is_file()]
+    assert sorted(files) == sorted([f"0/lab {i % 2}/{i}.parquet" for i in range(100)] + ["1/lab 1/7.parquet"])
+    got = readers.read_tracking(spark, str(tmp_path / "v"))
+    columns = got.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.select(*columns).collect()))
+    assert got.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sinks.write_videos(rows, str(tmp_path / "v"), stretch=1020)  # written again, nothing is doubled
+    assert readers.read_tracking(spark, str(tmp_path / "v")).count() == 4000
