@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinelake.functions import blocks
-from kinelake.functions.rolling import Track, centred, ewm, future, together, trailing
+from kinelake.functions.rolling import Roll, Track, aggregates, centred, ewm, future, together, trailing
 from kinelake.operators import pair, pose, single
 from kinelake.plans import behaviour
 from kinelake.plans.views import view
@@ -65,6 +65,29 @@ def test_windows_reach_into_the_halo(track, size):
     same(lagged.df, track.add({"back": track.lag("a", 30), "ahead": track.lag("b", -30)}).df, ["back", "ahead"])
 
 
+def test_a_row_is_dealt_about_once_however_small_a_block(track):
+    """Of blocks of 5 rows with halos of 30 on both sides, thirteen copies of a row would be shuffled; here only the spans' halos are."""
+    n, rolls = track.df.count(), {"m": centred("a", "median", 25, 2), "v": trailing("b", "var", 29, 3)}
+    cut = blocks.cut(track, 5, 30)
+    rolled = cut.roll(rolls, length=True)
+    again = rolled.roll({"w": centred("m", "mean", 9), "x": trailing("v", "max", 20)})
+    assert max(c.df.count() for c in (cut, rolled, again)) < 1.4 * n
+    both = track.roll(rolls).roll({"w": centred("m", "mean", 9), "x": trailing("v", "max", 20)})
+    same(blocks.own_rows(again).df, both.df, [*rolls, "w", "x"])
+
+
+def test_short_trajectories_share_a_call_without_meeting():
+    rng = np.random.default_rng(3)
+    sizes = [1, 40, 3, 1, 200, 17]
+    values = {c: np.where(rng.random(sum(sizes)) < 0.2, np.nan, rng.normal(size=sum(sizes)) * np.repeat([1, 1e6, 1e-3, 1, 1e3, 1], sizes)) for c in "ab"}
+    rolls = {f"{kind}{lo}{hi}": Roll("a", kind, lo, hi, 2, "b" if kind == "corr" else "") for kind in ("mean", "sum", "count", "min", "max", "median", "rank", "ewm", "var", "std", "corr", "slope") for lo, hi in ((-29, 0), (-7, 6), (0, 11))}
+    starts = np.cumsum([0, *sizes[:-1]])
+    got = aggregates(rolls, values.get, sum(sizes), starts)
+    for a, n in zip(starts, sizes):
+        for name, want in aggregates(rolls, lambda c: values[c][a : a + n], n).items():
+            np.testing.assert_array_equal(got[name][a : a + n], want, err_msg=name)
+
+
 @pytest.mark.parametrize("size", [1, 30, 1000])
 def test_smoothing_goes_on_over_blocks(track, write, size):
     spans = {"a5": ("a", 5), "a60": ("a", 60), "b1": ("b", 1), "b9": ("b", 9)}
