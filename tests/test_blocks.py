@@ -100,6 +100,16 @@ def test_gaps_are_filled_over_blocks(track, write, size, empty):
     same(blocks.filled(track, ["a", "b"], write, size, empty), pose.fill_gaps(track, ["a", "b"], empty).df, ["a", "b"])
 
 
+def test_blocks_are_filled_many_at_a_time(spark, write):
+    """A call for each short trajectory was most of a study's time: no function is called by group of rows."""
+    rows = write(spark.range(1000).select((F.col("id") % 100).cast("int").alias("video_id"), F.lit(1).alias("mouse_id"), F.expr("CAST(id DIV 100 AS INT)").alias("video_frame"), F.when(F.col("id") % 7 > 2, F.col("id").cast("double")).alias("a")).coalesce(1))
+    track = blocks.numbered(Track(rows, KEYS), write)
+    filled = blocks.filled(track, ["a"], write, 1000)
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" not in plan and plan.count("MapInArrow") >= 1
+    same(filled, pose.fill_gaps(track, ["a"], None).df, ["a"])
+
+
 def poses(spark, fps):
     return view(spark, SF, "pose").filter("video_id = 0").drop("fps", "event_id")
 
